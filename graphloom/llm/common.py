@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: ASCII white space: the bytes that end a word, 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: What separates terms: ASCII other than letters and digits. Other bytes belong to letters.
+SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Lower case of ASCII letters.
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

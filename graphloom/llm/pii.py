@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint_dir, doc_text, joined_text, map_arrow, span_hashes, text_chunks, word_spans
-from .spans import SPANS, Span, base_digest, counted, joined, replaced
+from .common import LOWER, SEPARATOR, batch_of, checkpoint_dir, doc_text, joined_text, map_arrow, span_hashes, text_chunks, word_spans
+from .spans import SPANS, SPANS_ARROW, Span, base_digest, counted, joined, replaced
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 #: Words on either side of an entity, distinct contexts, and the shares of an entity's information from which a term is generalised or removed.
@@ -47,9 +47,6 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: What separates terms: ASCII other than letters and digits.
-SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 TERM = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 
 
@@ -143,8 +140,6 @@ def base_table(docs: DataFrame) -> DataFrame:
             found = base_spans(text)
             spans.append([{"kind": k, "start": a, "end": b, "base": True} for k, a, b, _ in found])
             near.append(around(text, found) if found else [])
-        from .spans import SPANS_ARROW
-
         return batch_of(doc_id=(pa.int64(), batch.column(0)), row_key=(pa.int64(), batch.column(1)), spans=(SPANS_ARROW, spans), near=(NEAR_ARROW, near))
 
     rows = doc_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, matroska, packing, pii, secrets, tokencount
+from . import decontaminate, langid, matroska, packing, pii, secrets, simhash, tokencount
 from .common import load
 
 
@@ -18,10 +18,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(load(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language_id, op6_matroska, op8_packing, op9_secret_scan, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op4_simhash, op6_matroska, op7_decontamination, op8_packing, op9_secret_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
