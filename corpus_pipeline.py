@@ -1,4 +1,4 @@
-"""The corpus pipeline: stages of the corpus operators, each over all that its predecessor kept."""
+"""The corpus pipeline: five of the corpus operators in turn, each over all that its predecessor kept."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import langid, secrets
+from graphloom.llm import decontaminate, langid, packing, secrets, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +14,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact secrets; every document stays."""
     return secrets.redact(docs)
 
 
-STAGES = [("language_id", language_id), ("secret_scans", secret_scans)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' tokens into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", pack),
+]
 
-#: Compression and tokenizers are not SQL; tests hold the stages against brute force.
+#: Compression, XXH64 and the tokenizer are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
