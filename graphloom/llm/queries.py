@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: The words of a text as the word operators see them, and its shingles, in DuckDB.
 _WINDOWS = """
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
 ), starts AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20
 ), windows AS (
@@ -74,11 +74,11 @@ WITH words AS (
   SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(coalesce(gone, []), i)), i -> w[i]), ' ')) AS kept_sha256
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: w[i]), ' ')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id)
 """
 
-_LEAKS = """
+_LEAKS = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7F]+') AS w FROM documents
 ), items AS (
