@@ -121,7 +121,7 @@ def union(left: Relation, right: Relation) -> Relation:
     names = list(dict.fromkeys([*left.vals, *right.vals]))
     a, b = {}, {}
     for n in names:
-        x, y = V.unify(left.vals.get(n, V.NONE), right.vals.get(n, V.NONE))
+        x, y = V.unify(left.vals.get(n, V.none()), right.vals.get(n, V.none()))
         bound = n in left.vals and n in right.vals and left.vals[n].bound and right.vals[n].bound
         a[n], b[n] = replace(x, bound=bound), replace(y, bound=bound)
     if not names:

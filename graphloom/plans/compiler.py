@@ -94,7 +94,7 @@ class Compiler:
         r = self.run(node.inner, scope)
         if not node.names:
             return r
-        return Relation.of(r.df, {n: r.vals.get(n, V.NONE) for n in node.names})
+        return Relation.of(r.df, {n: r.vals.get(n, V.none()) for n in node.names})
 
     def on_distinct(self, node: A.Distinct, scope: tuple) -> Relation:
         r = self.run(node.inner, scope)
@@ -246,7 +246,7 @@ def construct(r: Relation, template: list[tuple]) -> DataFrame:
 
 def output(r: Relation, names: list[str]) -> DataFrame:
     """Result columns under their variables' names; native where the kind is known."""
-    return r.df.select(*[V.output(r.vals.get(n, V.NONE)).alias(n) for n in names])
+    return r.df.select(*[V.output(r.vals.get(n, V.none())).alias(n) for n in names])
 
 
 __all__ = ["Compiler", "DEFAULT", "construct", "describe", "iri", "output"]

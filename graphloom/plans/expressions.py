@@ -23,7 +23,10 @@ from . import values as V
 from .values import Val
 
 Env = dict[str, Val]
-FALSE, TRUE = F.lit(False), F.lit(True)
+
+
+def no() -> Column:
+    return F.lit(False)
 
 
 def boolean(col: Column) -> Val:
@@ -55,7 +58,7 @@ def truth(expr: A.Expr, env: Env) -> Column:
 
 def strict(expr: A.Expr, env: Env) -> Column:
     """The same with false for null."""
-    return F.coalesce(truth(expr, env), FALSE)
+    return F.coalesce(truth(expr, env), no())
 
 
 def ebv(v: Val) -> Column:
@@ -72,10 +75,10 @@ def ebv(v: Val) -> Column:
         return F.when(
             T.is_literal(v.col),
             F.when(behind == f"^^<{T.BOOLEAN}>", lexical.isin("true", "1"))
-            .when(behind.isin(*[f"^^<{d}>" for d in T.NUMERIC]), F.coalesce((n != 0) & ~F.isnan(n), FALSE))
+            .when(behind.isin(*[f"^^<{d}>" for d in T.NUMERIC]), F.coalesce((n != 0) & ~F.isnan(n), no()))
             .when((behind == "") | behind.startswith("@"), F.length(lexical) > 0),
         )
-    return FALSE
+    return no()
 
 
 # comparison
@@ -90,9 +93,9 @@ def equal(a: Val, b: Val) -> Column:
     if b.const:
         native = _native(b.const, a)
         if native is not None:
-            return F.coalesce(a.col == native, FALSE) if not a.bound else a.col == native
+            return F.coalesce(a.col == native, no()) if not a.bound else a.col == native
         if a.kind in ("key", "row", "str", "int", "bool", "time"):
-            return FALSE
+            return no()
     if {a.kind, b.kind} <= {"int", "num"} and a.kind != b.kind:
         return a.col.cast("double").eqNullSafe(b.col.cast("double"))
     x, y = V.unify(a, b)
@@ -148,7 +151,7 @@ def value(expr: A.Expr, env: Env) -> Val:
     if isinstance(expr, A.Const):
         return V.constant(expr.term)
     if isinstance(expr, A.Ref):
-        return env.get(expr.name, V.NONE)
+        return env.get(expr.name, V.none())
     if isinstance(expr, A.In):
         return boolean(_member(expr, env))
     if isinstance(expr, A.Aggregate):
@@ -169,7 +172,7 @@ def value(expr: A.Expr, env: Env) -> Val:
         a, b = V.unify(value(args[1], env), value(args[2], env))
         return Val(a.kind, F.when(strict(args[0], env), a.col).otherwise(b.col), a.prefix, bound=False)
     if name == "COALESCE":
-        out = [value(a, env) for a in args] or [V.NONE]
+        out = [value(a, env) for a in args] or [V.none()]
         first = out[0]
         for other in out[1:]:
             x, y = V.unify(first, other)
@@ -196,9 +199,9 @@ def _member(expr: A.In, env: Env) -> Column:
         right = value(item, env)
         hit = ordered("=", left, right)
         if not (V.is_number(left) and V.is_number(right)):
-            hit = F.coalesce(hit, FALSE) | (equal(left, right) & right.col.isNotNull())
-        hits.append(F.coalesce(hit, FALSE))
-    found = FALSE
+            hit = F.coalesce(hit, no()) | (equal(left, right) & right.col.isNotNull())
+        hits.append(F.coalesce(hit, no()))
+    found = no()
     for h in hits:
         found = found | h
     return F.when(left.col.isNotNull(), ~found if expr.negated else found)
@@ -237,7 +240,7 @@ def _regex(s: Val, pattern: Val, flags: Val | None = None) -> Val:
 def _replace(s: Val, pattern: Val, by: Val, flags: Val | None = None) -> Val:
     p = _flags(pattern, flags)
     if not p:
-        return V.NONE
+        return V.none()
     if by.const:
         return text(F.regexp_replace(V.lex(s), F.lit(p), F.lit(by.const.value.replace("\\", "\\\\").replace("$$", "\\$"))))
     return text(F.regexp_replace(V.lex(s), F.lit(p), V.lex(by)))
@@ -309,7 +312,7 @@ def _field(start: int, size: int) -> Callable[[Val], Val]:
         if v.kind == "time":
             return Val("int", part(v.col).cast("long"), bound=False)
         if v.kind != "term":
-            return V.NONE
+            return V.none()
         lexical = V.lex(v)
         return Val("int", F.when((T.suffix(v.col) == f"^^<{T.DATE_TIME}>") & lexical.rlike(SHAPE), F.substring(lexical, start, size).try_cast("long")), bound=False)
 
@@ -320,7 +323,7 @@ def _seconds(v: Val) -> Val:
     if v.kind == "time":
         return num(F.second(v.col).cast("double") + F.date_format(v.col, "SSSSSS").cast("double") / 1e6)
     if v.kind != "term":
-        return V.NONE
+        return V.none()
     lexical = V.lex(v)
     return num(F.when((T.suffix(v.col) == f"^^<{T.DATE_TIME}>") & lexical.rlike(SHAPE), F.regexp_extract(lexical, r"^.{17}(\d\d(?:\.\d+)?)", 1).try_cast("double")))
 

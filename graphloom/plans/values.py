@@ -42,7 +42,9 @@ def constant(term: T.Term) -> Val:
     return Val("term", F.lit(term.stored), const=term)
 
 
-NONE = Val("none", F.lit(None).cast("string"), bound=False)
+def none() -> Val:
+    """Unbound."""
+    return Val("none", F.lit(None).cast("string"), bound=False)
 
 
 def iso(col: Column) -> Column:
