@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, mix64, text_chunks
 
-#: Bytes of text in a block; window starts that are looked at together.
-BLOCK, SEGMENT = 8 << 20, 1 << 18
+#: Bytes of text in a block; buckets for each block; window starts, and bytes of contexts, that are looked at together.
+BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 4, 1 << 18, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _STEP = 0xD1342543DE82EF95
 _PLACE = np.uint64((1 << 24) - 1)
@@ -337,9 +337,16 @@ def settle_windows(contexts: list[bytes], windows: np.ndarray, rank: np.ndarray,
     out = np.repeat(rank, windows)
 
     def hashed(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-        values = shape.values(np.frombuffer(b"".join(texts), dtype=np.uint8))
-        begin = np.cumsum(counts + w - 1) - (counts + w - 1)
-        return gram_hashes(values, w)[np.repeat(begin, counts) + spread(counts)]
+        out, lo, held = [], 0, 0
+        for hi, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= SLICE or hi == len(texts):
+                own = counts[lo:hi]
+                values = shape.values(np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8))
+                begin = np.cumsum(own + w - 1) - (own + w - 1)
+                out.append(gram_hashes(values, w)[np.repeat(begin, own) + spread(own)])
+                lo, held = hi, 0
+        return np.concatenate(out)
 
     def repeated(h: np.ndarray) -> np.ndarray:
         _, of, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -417,10 +424,11 @@ def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.nd
     names = [p.split()[0] for p in schema.split(", ")]
     text = doc_text(docs)
     size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = int(size // BLOCK) + 1
+    blocks = int(size // BLOCK) + 1
+    buckets = blocks * BUCKETS
     # enough bytes that among all anchors one in 2**12 at most has a chance twin
     width = min(8, (max(1, size // 10).bit_length() + 12 + 7) // 8)
-    text = text.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(buckets)).cast("int").alias("block"), "doc_id", "text")
+    text = text.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def ask_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         return send_anchors(Block(rows, shape), key[0].as_py(), buckets, width)
@@ -442,9 +450,9 @@ def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.nd
         done = finish(block, covered(block, shared, answers.filter(pa.array(bucket >= 0)), buckets))
         return pa.table({n: pa.array(done[n], k) for n, k in zip(names, kinds, strict=True)})
 
-    blocks = text.groupBy("block")
-    bits = blocks.applyInArrow(ask_anchors, _PART).groupBy("bucket").applyInArrow(lambda rows: answer_anchors(rows, width), _PART)
-    asked = blocks.cogroup(bits.groupBy("block")).applyInArrow(ask_contexts, _PART)
+    by_block = text.groupBy("block")
+    bits = by_block.applyInArrow(ask_anchors, _PART).groupBy("bucket").applyInArrow(lambda rows: answer_anchors(rows, width), _PART)
+    asked = by_block.cogroup(bits.groupBy("block")).applyInArrow(ask_contexts, _PART)
     answers = asked.groupBy("bucket").applyInArrow(lambda rows: answer_contexts(rows, shape), _PART)
     both = answers.unionByName(bits.select("block", (-1 - F.col("bucket")).cast("int").alias("bucket"), "data"))
-    return blocks.cogroup(both.groupBy("block")).applyInArrow(apply, schema)
+    return by_block.cogroup(both.groupBy("block")).applyInArrow(apply, schema)
