@@ -337,14 +337,16 @@ RULES: dict[str, tuple[list[tuple[str, str, str]], str]] = {
     "prp-asyp": ([(IN, _T, f"<{OWL}AsymmetricProperty>"), ("<urn:tpch:nation/3>", IN, "<urn:tpch:customer/1>")], f"SELECT unnest(['<urn:tpch:customer/1>', '<urn:tpch:nation/3>']) AS s, '{_T}' AS p, '<{OWL}Nothing>' AS o FROM customer WHERE c_custkey = 1 AND c_nationkey = 3"),
     "prp-pdw": ([(IN, f"<{OWL}propertyDisjointWith>", "<urn:x:p>"), ("<urn:tpch:customer/1>", "<urn:x:p>", "<urn:tpch:nation/3>")], f"SELECT {_C} AS s, '{_T}' AS p, '<{OWL}Nothing>' AS o FROM customer WHERE c_custkey = 1 AND c_nationkey = 3"),
     "prp-fp": ([(IN, _T, f"<{OWL}FunctionalProperty>")], f"SELECT DISTINCT {_N} AS s, '<{OWL}sameAs>' AS p, {_N} AS o FROM customer"),
-    "eq-rep-p": ([(IN, f"<{OWL}sameAs>", "<urn:x:p>")], f"SELECT {_C} AS s, '<urn:x:p>' AS p, {_N} AS o FROM customer UNION ALL SELECT '{IN}', '{'<urn:x:p>'}', '<urn:x:p>' WHERE FALSE"),
-    "eq-rep-s": ([("<urn:tpch:customer/1>", f"<{OWL}sameAs>", "<urn:x:a>")], f"SELECT '<urn:x:a>' AS s, '{IN}' AS p, {_N} AS o FROM customer WHERE c_custkey = 1 UNION ALL SELECT '<urn:x:a>', '<{OWL}sameAs>', '<urn:x:a>'"),
+    "eq-rep-p": ([(IN, f"<{OWL}sameAs>", "<urn:x:p>")], f"SELECT {_C} AS s, '<urn:x:p>' AS p, {_N} AS o FROM customer"),
+    "eq-rep-s": ([("<urn:tpch:customer/1>", f"<{OWL}sameAs>", "<urn:x:a>")], f"SELECT '<urn:x:a>' AS s, '{IN}' AS p, {_N} AS o FROM customer WHERE c_custkey = 1"),
     "eq-rep-o": ([("<urn:tpch:nation/3>", f"<{OWL}sameAs>", "<urn:x:n>")], f"SELECT {_C} AS s, '{IN}' AS p, '<urn:x:n>' AS o FROM customer WHERE c_nationkey = 3"),
 }
 
 
 def _rule_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _one_rule(spark, sf_dir, RULES[name][0], (name,))
+    out = _one_rule(spark, sf_dir, RULES[name][0], (name,))
+    # the symmetric and transitive closure of owl:sameAs runs beside every rule
+    return out.where(F.col("p") != f"<{OWL}sameAs>") if name.startswith("eq-rep") else out
 
 
 @register("SELECT '<urn:tpch:customer/' || c_custkey || '>' AS s FROM customer WHERE c_acctbal > 9000 AND c_nationkey < 12")
