@@ -65,7 +65,7 @@ def lace(frames: list[bytes], mode: str) -> bytes:
         for s in sizes[:-1]:
             head += b"\xff" * (s // 255) + bytes([s % 255])
     elif mode == "ebml":
-        head += vint(sizes[0])
+        head += vint(sizes[0]) if len(sizes) > 1 else b""
         for before, s in zip(sizes[:-1], sizes[1:-1], strict=False):
             n = next(n for n in range(1, 9) if abs(s - before) < 1 << 7 * n - 1)
             head += vint(s - before + (1 << 7 * n - 1) - 1, n)
