@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, mix64, text_chunks
 
 #: Bytes of text in a block; buckets for each block; window starts, and bytes of contexts, that are looked at together.
-BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 4, 1 << 18, 1 << 20
+BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 2, 1 << 18, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _STEP = 0xD1342543DE82EF95
 _PLACE = np.uint64((1 << 24) - 1)
@@ -122,7 +122,8 @@ def find_runs(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> Runs:
         new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(start)) - 1
-        parts.append((start[begin] + lo, start[end] + lo, at[begin] + lo, gram[at[begin]]))
+        # anchors are least hashes, so they are mixed again before they choose buckets
+        parts.append((start[begin] + lo, start[end] + lo, at[begin] + lo, mix64(gram[at[begin]])))
     if not parts:
         none = np.empty(0, dtype=np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none)
