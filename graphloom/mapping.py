@@ -129,6 +129,20 @@ class MappedGraph:
         df = reduce(DataFrame.unionByName, parts)
         return Relation(df, {n: Val("term", F.col(n)) for n in "spo"})
 
+    def predicate_counts(self, scope: tuple) -> DataFrame:
+        """``p, n``: the triples of each predicate, from counts of values that leave nothing to unpivot but a row a table."""
+        if scope[0] != "default":
+            raise Refused("mapped tables are the default graph")
+        parts = []
+        for table in self.tables.values():
+            df = self.frame(table.name)
+            names = [c if len(self.columns()[c]) == 1 else f"{table.name}.{c}" for c in df.columns]
+            counts = df.agg(F.count(F.lit(1)).alias("~rows"), *[F.count(f"`{c}`").alias(c) for c in df.columns])
+            cells = [F.struct(F.lit(RDF_TYPE).alias("p"), F.col("~rows").alias("n"))]
+            cells += [F.struct(F.lit(f"<{self.base}{n}>").alias("p"), F.col(f"`{c}`").alias("n")) for n, c in zip(names, df.columns, strict=True)]
+            parts.append(counts.select(F.inline(F.array(*cells))))
+        return reduce(DataFrame.unionByName, parts).groupBy("p").agg(F.sum("n").alias("n")).where("n > 0")
+
     def graphs(self) -> DataFrame | None:
         return None
 

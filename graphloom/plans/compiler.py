@@ -76,7 +76,25 @@ class Compiler:
         df = self.spark.createDataFrame(rows, ", ".join(f"`{encode(n)}` string" for n in node.names))
         return Relation(df, {n: Val("term", F.col(f"`{encode(n)}`"), bound=all(r[i] is not None for r in rows)) for i, n in enumerate(node.names)})
 
+    def counted(self, node: A.Group, scope: tuple) -> Relation | None:
+        """``COUNT`` over all triples, or by predicate, from the source's own counts."""
+        inner = node.inner
+        if not (isinstance(inner, A.Bgp) and len(inner.triples) == 1 and len(node.aggregates) == 1 and scope[0] != "var"):
+            return None
+        triple, (name, agg) = inner.triples[0], node.aggregates[0]
+        used = [n.name for n in triple if isinstance(n, Var)]
+        plain = agg.name == "COUNT" and not agg.distinct and (agg.arg is None or isinstance(agg.arg, A.Ref) and agg.arg.name in used)
+        by_predicate = len(node.keys) == 1 and node.keys[0][1] == A.Ref(used[1] if len(used) == 3 else "")
+        if not plain or len(set(used)) != 3 or node.keys and not by_predicate:
+            return None
+        counts = self.source.predicate_counts(scope)
+        if node.keys:
+            return Relation.of(counts, {node.keys[0][0]: Val("term", F.col("p")), name: Val("int", F.col("n"))})
+        return Relation.of(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), {name: Val("int", F.col("n"))})
+
     def on_group(self, node: A.Group, scope: tuple) -> Relation:
+        if (known := self.counted(node, scope)) is not None:
+            return known
         r = self.run(node.inner, scope)
         keys = {}
         for name, expr in node.keys:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ class QuadGraph:
             return self.quads.where(F.col("g").isNull()).select("s", "p", "o")
         return self.quads.where(F.col("g").isNull() | ~F.col("g").startswith(RESERVED)).select("s", "p", "o").distinct()
 
+    def predicate_counts(self, scope: tuple) -> DataFrame:
+        """``p, n``: the triples of each predicate."""
+        return self.scope(scope).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
     def bgp(self, patterns: list[tuple], scope: tuple) -> Relation:
         df = self.scope(scope)
         r = Relation(df, {c: Val("term", F.col(c)) for c in df.columns})
@@ -154,23 +159,21 @@ class Store:
 
     def apply(self, deletions: DataFrame | None, additions: DataFrame | None) -> tuple[int, int]:
         """``S' = (S - D) + A``: deletions first; counts of real changes. Nothing real is no new version."""
-        spark = self.quads.sparkSession
-        none = spark.createDataFrame([], SCHEMA)
-        d = (deletions if deletions is not None else none).select("g", "s", "p", "o").distinct()
-        a = (additions if additions is not None else none).select("g", "s", "p", "o").distinct()
-        keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in "gspo"]
-
-        def minus(x: DataFrame, y: DataFrame, how: str = "left_anti") -> DataFrame:
-            return x.alias("x").join(y.alias("y"), keys, how)
-
-        gone = checkpointed(minus(minus(d, a), self.quads, "left_semi"))
-        new = checkpointed(minus(a, self.quads))
-        counts = gone.count(), new.count()
+        def side(df: DataFrame, name: str) -> DataFrame:
+            return df.select("g", "s", "p", "o", *[F.lit(n == name).alias(n) for n in ("in_s", "in_d", "in_a")])
+
+        parts = [side(self.quads, "in_s")]
+        parts += [side(df, name) for df, name in ((deletions, "in_d"), (additions, "in_a")) if df is not None]
+        # one shuffle tells of every quad which of the three sets has it; the unnamed graph groups like any other
+        flags = [F.bool_or(n).alias(n) for n in ("in_s", "in_d", "in_a")]
+        state = checkpointed(reduce(DataFrame.unionByName, parts).groupBy("g", "s", "p", "o").agg(*flags))
+        gone, new = F.expr("in_s and in_d and not in_a"), F.expr("in_a and not in_s")
+        counts = tuple(state.agg(F.count_if(gone), F.count_if(new)).first())
         if any(counts):
             self.history[self.version] = self.quads
             self.version += 1
-            self.quads = checkpointed(minus(self.quads, gone).unionByName(new))
-            self.log.append((self.version, gone, new))
+            self.quads = state.where("in_a or in_s and not in_d").select("g", "s", "p", "o")
+            self.log.append((self.version, state.where(gone).select("g", "s", "p", "o"), state.where(new).select("g", "s", "p", "o")))
         return counts
 
     def at(self, version: int) -> DataFrame:

@@ -25,8 +25,14 @@ TABLES = [
 ]
 
 
+_LAST: list[tuple[SparkSession, str, MappedGraph]] = []
+
+
 def graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
-    return MappedGraph(spark, TABLES, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), BASE)
+    """The mapping of a folder's tables; the last one is kept, so that schemas are read once."""
+    if not (_LAST and _LAST[0][0] is spark and _LAST[0][1] == sf_dir):
+        _LAST[:] = [(spark, sf_dir, MappedGraph(spark, TABLES, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), BASE))]
+    return _LAST[0][2]
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
