@@ -80,9 +80,9 @@ FROM words LEFT JOIN lost USING (doc_id)
 
 _LEAKS = r"""
 WITH docs AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7F]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[^\x00-/:-@\[-`{-\x7F]+') AS w FROM documents
 ), items AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7F]+') AS w FROM benchmark
+  SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[^\x00-/:-@\[-`{-\x7F]+') AS w FROM benchmark
 ), item_shingles AS (
   SELECT DISTINCT item_id, least(5, len(w)) AS n, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS k
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)

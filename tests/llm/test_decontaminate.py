@@ -5,7 +5,7 @@ from graphloom.llm import decontaminate as d
 
 def slow(docs, items):
     def shingles(text, n):
-        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").casefold())
         n = n or min(5, len(words))
         return n, {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
@@ -42,3 +42,11 @@ def test_odd_rows(spark):
     assert d.find_leaks(frame, bench.limit(0)).count() == 0
     assert sorted(r.doc_id for r in d.drop_leaks(frame, bench).collect()) == [2, 3]
     assert d.drop_leaks(frame, bench).columns == frame.columns
+
+
+def test_copies_in_capitals(spark):
+    item = "über die straße ging ñandú él sólo où était l'élève"
+    frame = spark.createDataFrame([(1, f"Vorher. {item.upper()}!! Nachher."), (2, item), (3, "über die straße ging niemand")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in d.find_leaks(frame, bench).collect()) == [1, 2]
+    assert [r.doc_id for r in d.drop_leaks(frame, bench).collect()] == [3]
