@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import incremental, store
+from . import incremental, rulebook, store
 from .catalogue import SPARQL
 from .engine import Engine
 from .operators import closure
@@ -489,10 +489,10 @@ def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: partial(_sparql, name) for name in SPARQL}
     out |= {f"rule_{name.replace('-', '_')}": partial(_rule_query, name) for name in RULES}
-    return out | {name: f for name, (f, _) in FOUND.items()}
+    return out | rulebook.queries() | {name: f for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in SPARQL.items() if sql}
     out |= {f"rule_{name.replace('-', '_')}": sql for name, (_, sql) in RULES.items()}
-    return out | {name: sql for name, (_, sql) in FOUND.items() if sql}
+    return out | rulebook.oracle_sql() | {name: sql for name, (_, sql) in FOUND.items() if sql}

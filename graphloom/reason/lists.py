@@ -128,7 +128,7 @@ def list_rules(triples: DataFrame, lists: DataFrame) -> list[DataFrame]:
     out.append(_facts(used, F.col("s"), RDF_TYPE, F.lit(NOTHING), "prp-adp"))
     a = of("AllDifferent").select("axiom", F.col("position").alias("i"), F.col("item").alias("x"))
     b = of("AllDifferent").select("axiom", F.col("position").alias("j"), F.col("item").alias("y"))
-    out.append(_facts(a.join(b, "axiom").where("i < j"), x, DIFFERENT, F.col("y"), "eq-diff2"))
+    out.append(_facts(a.join(b, "axiom").where("i != j"), x, DIFFERENT, F.col("y"), "eq-diff2"))
 
     # cardinality
     bounds = restrictions(triples)
