@@ -1,6 +1,7 @@
 """Personal data and secrets against the patterns as they are written, and what the methods add."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -110,6 +111,24 @@ def test_pii_disclosure(spark):
     assert pii.pii_digest(docs.where(F.lit(False))).count() == 0
 
 
+def test_pii_disclosure_over_whole_documents(spark):
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choices("klmnop", k=7)) for _ in range(n))
+    rows = [(i, f"É🙂{i} Zorblatt {words(30)} jane@corp.example {words(9)} zorblatt the") for i in range(4)]
+    rows += [(9, f"{words(5)} Zorblatt {words(5)} joe@zorblatt.example the")]  # does not name the entity
+    rows += [(10 + i, f"the {words(20)}") for i in range(60)]
+    rows += [(100 + i, f"Quux {'the ' * 20} ann@x.example here") for i in range(3)]  # copies are no evidence
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for row in pii.pii_spans(docs).collect():
+        text = dict(rows)[row.doc_id]
+        added = [text[s.start : s.end] for s in row.spans if not s.base]
+        assert added == {0: ["Zorblatt", "zorblatt"], 9: ["Zorblatt"]}.get(row.doc_id if row.doc_id > 3 else 0, [])
+    held = pii.company(docs, pii.entity_counts(pii.base_table(docs)).select("entity"))
+    found = pii.disclosures(held, pii.entity_counts(pii.base_table(docs)), pii.term_frequencies(docs), len(rows)).collect()
+    zorblatt = int(pii.term_hash([b"zorblatt"])[0])
+    assert [round(x.disclosure, 9) for x in found if x.term == zorblatt] == [round(math.log(4 * len(rows) / (4 * 5)) / math.log(len(rows) / 4), 9)]
+
+
 def test_term_frequencies_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
     want = {}
