@@ -43,7 +43,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")
 WEAK_ID = re.compile(r"""(?:user(?:_?name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
 WEAK_ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._~:@/?#%&=+-]+")
-WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def entropy(token: str) -> float:

@@ -77,6 +77,17 @@ def test_linking():
         assert secrets.linked(parts) == slow
 
 
+def test_long_keys():
+    r = random.Random(3)
+    for n in (128, 129, 200, 5000):
+        key = "aB3" + "".join(r.choices("abcdefghijkLMNOPQRST0123456789_-", k=n - 3))
+        text = f"user: alice {key}== end"
+        assert secrets.scan(text) == [("id", 6, 11, False), ("key", 12, 14 + n, False)]
+        assert secrets.scan(f"{key} end") == []
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{key[:200]}.{key[:43]}"
+    assert [text[a:b] for text in [f"login=bob {jwt}"] for k, a, b, _ in secrets.scan(text) if k == "key"] == jwt.split(".")
+
+
 def test_secret_digest_and_redaction(spark):
     rows = [(1, "token = 'abcdef1' x", 5, "s"), (2, None, None, "s"), (None, "", 0, None), (3, "clean text", 10, "t"), (3, "clean text", 10, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
