@@ -7,7 +7,8 @@ token (``key``) and a host or URL (``endpoint``), are common in clean text. An
 interval join links parts whose scopes, the part and ``SCOPE`` code points on
 either side, overlap; a weak part is reported only if a complementary part is in its
 scope: a secret for an identifier or endpoint, an identifier for a weak
-secret.
+secret. A weak part that a base span covers whole is left out; one that overlaps
+it in part is linked like any other.
 
 Defined results: a null or empty text has no spans; a null ``doc_id`` stays
 null; repeated rows give repeated results; overlapping kinds are all kept, as
@@ -21,6 +22,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,6 +107,13 @@ def linked(parts: list[Span]) -> list[Span]:
     return out
 
 
+def uncovered(weak: list[Span], base: list[Span]) -> list[Span]:
+    """Weak parts that no base span covers whole; those that overlap one in part stay."""
+    taken = sorted((a, b) for _, a, b, _ in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    return [s for s in weak if not (i := bisect_right(starts, s[1])) or reach[i - 1] < s[2]]
+
+
 def scan(text: str) -> list[Span]:
     """Every span that is reported in a text."""
     base = base_spans(text)
@@ -112,9 +121,7 @@ def scan(text: str) -> list[Span]:
     if base or weak:
         weak += weak_keys(text)
     if weak:
-        taken = sorted((a, b) for _, a, b, _ in base)
-        weak = [s for s in weak if not any(a < s[2] and s[1] < b for a, b in taken)]
-        base += linked(base + weak)
+        base += linked(base + uncovered(weak, base))
     return ordered(base, KINDS)
 
 

@@ -88,6 +88,22 @@ def test_long_keys():
     assert [text[a:b] for text in [f"login=bob {jwt}"] for k, a, b, _ in secrets.scan(text) if k == "key"] == jwt.split(".")
 
 
+def test_parts_that_overlap():
+    url = "get https://api.example.com/v1?api_key=abcdef123 now"
+    assert secrets.scan(url) == [("endpoint", 4, 48, False), ("assign", 31, 48, True)]
+    run = "0123456789abcdef01234567"
+    text = f"login: carol XYZk9{run}QpR end"
+    assert secrets.scan(text) == [("id", 7, 12, False), ("key", 13, 45, False), ("hex", 17, 42, True)]
+    assert secrets._clean(text) == "login: [SECRET] [SECRET] end" and secrets._clean(url) == "get [SECRET] now"
+    # covered whole: left out
+    assert [s[0] for s in secrets.scan(f"user: alice token={run}aB3dE5gH7jK9mN1pQ3s")] == ["id", "assign", "hex"]
+    r = random.Random(9)
+    for _ in range(300):
+        some = [(k, a, a + r.randint(1, 30), k == "hex") for k, a in ((r.choice(("hex", "key")), r.randrange(200)) for _ in range(12))]
+        weak, base = [s for s in some if not s[3]], [s for s in some if s[3]]
+        assert secrets.uncovered(weak, base) == [s for s in weak if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)]
+
+
 def test_secret_digest_and_redaction(spark):
     rows = [(1, "token = 'abcdef1' x", 5, "s"), (2, None, None, "s"), (None, "", 0, None), (3, "clean text", 10, "t"), (3, "clean text", 10, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
