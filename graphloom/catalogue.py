@@ -16,6 +16,10 @@ SPARQL: dict[str, tuple[str, str | None]] = {
         "SELECT ?k ?nation WHERE { ?o :o_orderkey ?k ; :o_custkey/:c_nationkey/:n_name ?nation FILTER(?k < 500) }",
         "SELECT DISTINCT o_orderkey AS k, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 500",
     ),
+    "bgp_chain_fk_all": (
+        "SELECT ?k ?nation WHERE { ?o :o_orderkey ?k ; :o_custkey/:c_nationkey/:n_name ?nation }",
+        "SELECT DISTINCT o_orderkey AS k, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    ),
     "bgp_snowflake": (
         "SELECT ?region (COUNT(*) AS ?n) WHERE { ?l :l_orderkey ?o ; :l_quantity ?q . ?o :o_custkey ?c . ?c :c_nationkey ?n1 . ?n1 :n_regionkey ?r . ?r :r_name ?region FILTER(?q > 40) } GROUP BY ?region",
         "SELECT r_name AS region, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity > 40 GROUP BY r_name",
