@@ -219,6 +219,12 @@ SPARQL: dict[str, tuple[str, str | None]] = {
         "SELECT ?x ?y WHERE { ?x (:o_custkey|:c_nationkey|:n_regionkey)+ ?y FILTER(STRSTARTS(STR(?x), 'urn:tpch:nation/')) }",
         "SELECT '<urn:tpch:nation/' || n_nationkey || '>' AS x, '<urn:tpch:region/' || n_regionkey || '>' AS y FROM nation",
     ),
+    "path_plus_all": (
+        "SELECT ?x ?y WHERE { ?x (:o_custkey|:c_nationkey|:n_regionkey)+ ?y }",
+        """WITH edges AS (SELECT 'orders/' || o_orderkey AS x, 'customer/' || o_custkey AS y FROM orders UNION SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation),
+           two AS (SELECT a.x, b.y FROM edges a JOIN edges b ON a.y = b.x), three AS (SELECT a.x, b.y FROM two a JOIN edges b ON a.y = b.x)
+           SELECT '<urn:tpch:' || x || '>' AS x, '<urn:tpch:' || y || '>' AS y FROM (SELECT x, y FROM edges UNION SELECT x, y FROM two UNION SELECT x, y FROM three)""",
+    ),
     "path_plus_ground": (
         "SELECT ?y WHERE { <urn:tpch:orders/7> (:o_custkey|:c_nationkey|:n_regionkey)+ ?y }",
         """SELECT unnest(['<urn:tpch:customer/' || o_custkey || '>', '<urn:tpch:nation/' || c_nationkey || '>', '<urn:tpch:region/' || n_regionkey || '>']) AS y
