@@ -3,19 +3,24 @@
 All documents' ids, each document's followed by ``END``, are one stream that is cut
 every ``WINDOW`` ids. The stream is never brought together: the first pass encodes
 the documents and checkpoints the ids, which fixes rows to partitions and their
-order; the second adds up each partition's tokens, and prefix sums of
+order, and writes beside each document its partition and the tokens before it there;
+the second adds up each partition's tokens, and prefix sums of
 those totals (one number a partition, the only thing that the driver sees) give
-each partition its offset in the stream, from which it cuts its own pieces. Only
-the stream's last sequence may be short.
+each partition its offset in the stream. With those three every row is cut by itself, so
+the pieces are the same however rows are dealt to tasks afterwards (``coalesce``,
+``union``, a lost executor). Only the stream's last sequence may be short.
 
 Defined results: a null or empty text is ``END`` alone; a null ``doc_id`` stays null;
-repeated rows are packed again each time; no documents give no pieces.
+repeated rows are packed again each time, equal or not (ties are packed in the order of
+the partition); no documents give no pieces; a very long text is encoded alone, as one row,
+and cut into as many pieces as it needs; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +44,30 @@ def model(path: str | None) -> WordBPE:
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, tokens, ids, wide``: ids with ``END``, packed in two bytes each, or in four where the vocabulary needs them."""
+    """``doc_id, tokens, ids, wide, part, before``: ids with ``END``, packed in two bytes each, or in four
+    where the vocabulary needs them, the partition and its tokens before the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(vocabulary)
         end = np.array([END], dtype=bpe.width).tobytes()
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), []
             for lo, hi in text_chunks(texts, 1 << 23):
                 ids += [x + end for x in bpe.encode(texts[lo:hi])]
+            tokens = np.array([len(x) // len(end) for x in ids], dtype=np.int64)
+            ends = before + np.cumsum(tokens)
             yield batch_of(
                 doc_id=(pa.int64(), batch.column(0)),
-                tokens=(pa.int64(), [len(x) // len(end) for x in ids]),
+                tokens=(pa.int64(), tokens),
                 ids=(pa.binary(), ids),
                 wide=(pa.bool_(), [len(end) > 2] * len(ids)),
+                part=(pa.int32(), [part] * len(ids)),
+                before=(pa.int64(), ends - tokens),
             )
+            before = int(ends[-1]) if len(ends) else before
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, tokens long, ids binary, wide boolean")
+    return doc_text(docs).mapInArrow(run, "doc_id long, tokens long, ids binary, wide boolean, part int, before long")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -63,18 +75,21 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -
     spark = docs.sparkSession
     checkpoint_dir(spark)
     ids = encoded(docs, vocabulary).checkpoint()
-    totals = dict(ids.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("tokens").alias("n")).collect())
-    offsets, at = {}, 0
-    for p in sorted(totals):
-        offsets[p] = at
-        at += totals[p]
-    shared = spark.sparkContext.broadcast(offsets)
+    totals = dict(ids.groupBy("part").agg(F.sum("tokens")).collect())
+    parts = sorted(totals)
+    offsets = dict(zip(parts, accumulate([0, *(totals[p] for p in parts)]), strict=False))
+    return cut(ids, offsets, window)
+
+
+def cut(ids: DataFrame, offsets: dict[int, int], window: int = WINDOW) -> DataFrame:
+    """The pieces of encoded rows, given each partition's offset; a partition without one is an error."""
+    shared = ids.sparkSession.sparkContext.broadcast(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = shared.value.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
             rows = []
-            for doc, tokens, packed, wide in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for doc, tokens, packed, wide, part, before in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                at = shared.value[part] + before
                 stored = np.frombuffer(packed, dtype="<u4" if wide else "<u2").astype("<u4").tobytes()
                 start = 0
                 while start < tokens:

@@ -127,6 +127,21 @@ def test_packing_against_brute_force(spark, docs):
     assert packing.pack(some.limit(0)).count() == 0
 
 
+def test_pieces_do_not_depend_on_later_partitions(spark, docs):
+    some = docs.where("doc_id < 90").select("doc_id", "text").repartition(4)
+    kept = lambda df: sorted(tuple(r) for r in df.collect())
+    pieces = packing.pack(some)
+    whole = kept(pieces)
+    places = sorted((r[5], r[6], r[2]) for r in whole)
+    assert all(a[0] * 2048 + a[1] + a[2] == b[0] * 2048 + b[1] for a, b in zip(places, places[1:]))
+    assert kept(pieces.coalesce(1)) == kept(pieces.coalesce(3)) == kept(pieces.repartition(7)) == whole
+    assert kept(pieces.unionByName(pieces).coalesce(2)) == sorted(whole * 2)
+    twice = packing.pack(some).unionByName(packing.pack(some))
+    assert twice.count() == 2 * len(whole)
+    with pytest.raises(Exception, match="KeyError"):
+        packing.cut(packing.encoded(some), {99: 0}).count()
+
+
 def test_token_counts_against_brute_force(spark):
     scores = tokencount.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
     low = min(scores.values()) - tokencount.UNKNOWN
