@@ -41,11 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that ``checkpoint()`` has a folder.
 
     The cluster's own ``spark.checkpoint.dir`` is used as it is; a temporary
-    one is made only where none is set (tests, local runs).
+    one is made only where none is set and the driver runs all tasks (tests, local
+    runs). On a cluster a folder of the driver's own would lose data, so that is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster checkpoints need a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-ckpt-"))
 
 
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
