@@ -1,14 +1,20 @@
 """Removal of repeated byte strings, decided by suffix arrays.
 
 Every byte covered by a ``WINDOW``-byte string that also starts in a document with a
-smaller id is removed. Strings are sampled and exchanged as ``repeats``
-describes. Contexts that share an anchor but differ are concatenated and their
-suffixes sorted by the linear grouping construction; neighbours in the suffix array with
-``WINDOW`` equal bytes are one string.
+smaller id is removed. ``repeats`` brings strings that may be equal together, by anchors.
+The contexts of an anchor, each distinct one once a block, are the strings of one text; its suffixes are
+sorted by the linear grouping construction, and neighbours in the suffix array with
+``WINDOW`` equal bytes are one string. As all contexts of an anchor hold it, it is one
+symbol there.
+
+Many anchors have few contexts, and those texts are sorted in step (``suffix_arrays``),
+``BATCH`` symbols at a time; a text longer than ``LONG`` is sorted by itself.
 
 Defined results: null and empty texts, and texts shorter than ``WINDOW``, lose nothing;
-ids that repeat don't remove each other; a null id comes after all others;
-strings never cross documents, and overlapping repeats are removed together.
+ids that repeat don't remove each other (ties); a null id comes after all others;
+strings never cross documents, and overlapping repeats are removed together; no
+documents give no rows; other columns are dropped, whatever their names. A very long text is
+held by one task whole, at about 30 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -18,51 +24,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import _BYTE, joined_text, sha_hex
-from .repeats import Block, Shape, remove_repeats
-from .suffixes import suffix_array
+from .repeats import Block, Parts, Shape, least_ranks, remove_repeats
+from .suffixes import spread, suffix_array, suffix_arrays
 
 WINDOW, GRAM = 50, 24
-#: Bytes whose suffixes are sorted together, unless one anchor has more.
-BATCH = 1 << 15
-
-
-def settle(parts: list[bytes], windows: np.ndarray, rank: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Each window's least rank, by the suffix arrays of batches of whole anchors."""
-    out = np.repeat(rank, windows)
-    place = np.cumsum(windows) - windows
-    lo = 0
-    for hi in range(1, len(parts) + 1):
-        if hi == len(parts) or gram[hi] != gram[hi - 1] and sum(map(len, parts[lo:hi])) >= BATCH:
-            _settle_batch(parts[lo:hi], windows[lo:hi], out[place[lo] : place[hi - 1] + windows[hi - 1]])
-            lo = hi
+#: Symbols that are sorted in step; symbols of a text that is sorted by itself.
+BATCH, LONG = 1 << 18, 1 << 15
+#: Symbol of the anchor; bytes are one more than they are, and 0 ends a string.
+ANCHOR = 257
+
+
+def settle(parts: Parts, none: int) -> np.ndarray:
+    """Each window's least rank, by suffix arrays."""
+    out = np.full(int(parts.windows.sum()), none, dtype=np.int64)
+    first = np.cumsum(parts.windows) - parts.windows
+    raw = np.frombuffer(b"".join(parts.data), dtype=np.uint8)
+    begin = np.cumsum(parts.windows + WINDOW - 1) - (parts.windows + WINDOW - 1)
+    for whole in (False, True):
+        chosen = np.flatnonzero(parts.whole == whole)
+        if not len(chosen):
+            continue
+        if whole:
+            keys = [parts.gram[chosen]]
+        else:  # the anchors themselves, in words of eight bytes
+            at = begin[chosen] + parts.lead[chosen]
+            keys = list(np.ascontiguousarray(raw[at[:, None] + np.arange(GRAM)]).view("<u8").T)
+        order = np.lexsort(keys)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+        text = np.cumsum(new) - 1
+        size = np.bincount(text, parts.windows[chosen[order]] + (WINDOW if whole else WINDOW - GRAM + 1)).astype(np.int64)
+        by_size = np.argsort(size, kind="stable")  # texts of about one size take about as many steps
+        turn = np.empty(len(size), dtype=np.int64)
+        turn[by_size] = np.arange(len(size))
+        again = np.argsort(turn[text], kind="stable")
+        chosen, text = chosen[order][again], turn[text][again]
+        total = np.cumsum(size[by_size])
+        lone = np.flatnonzero(size[by_size] > LONG)
+        edges = np.unique(np.concatenate([np.searchsorted(total, np.arange(BATCH, total[-1], BATCH)), lone, [0, len(size)]]))
+        rows = np.searchsorted(text, edges)
+        for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            _settle_texts(parts, raw, begin, first, chosen[lo:hi], text[lo:hi], whole, none, out)
     return out
 
 
-def _settle_batch(parts: list[bytes], windows: np.ndarray, rank: np.ndarray) -> None:
-    symbols: list[int] = []
-    start = []
-    for part, n in zip(parts, windows.tolist(), strict=True):
-        start.append(np.arange(len(symbols), len(symbols) + n))
-        symbols += [c + 2 for c in part]
-        symbols.append(1)
-    symbols.append(0)
+def _settle_texts(parts: Parts, raw: np.ndarray, begin: np.ndarray, first: np.ndarray, own: np.ndarray, text: np.ndarray, whole: bool, none: int, out: np.ndarray) -> None:
+    """Sort the suffixes of texts, each of the strings with one number, and write their windows' least ranks."""
+    depth = WINDOW if whole else WINDOW - GRAM + 1
+    windows = parts.windows[own]
+    length = windows + depth - 1
+    opens = np.ones(len(own), dtype=np.int64)  # a 0 before each string, and one after each text
+    opens[1:] += text[1:] != text[:-1]
+    start = np.cumsum(opens) + np.cumsum(length) - length
+    symbols = np.zeros(int(start[-1] + length[-1]) + 1, dtype=np.int16)
+    inside = spread(length)
+    source = np.repeat(begin[own], length) + inside
+    anchor = np.repeat(parts.lead[own], length)
+    if whole:
+        symbols[np.repeat(start, length) + inside] = raw[source].astype(np.int16) + 1
+    else:
+        found = raw[source + (GRAM - 1) * (inside > anchor)].astype(np.int16) + 1
+        symbols[np.repeat(start, length) + inside] = np.where(inside == anchor, ANCHOR, found)
+    fresh = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    edges = np.append(start[fresh] - 1, len(symbols))
+    if len(edges) == 2 and len(symbols) > LONG:
+        order = np.array(suffix_array([*(symbols.astype(np.int64) + 1).tolist(), 0]), dtype=np.int64)[1:]
+    else:
+        order = suffix_arrays(symbols, edges)
     number = np.full(len(symbols), -1, dtype=np.int64)
-    number[np.concatenate(start)] = np.arange(len(rank))
-    order = np.array(suffix_array(symbols), dtype=np.int64)
+    number[np.repeat(start, windows) + spread(windows)] = np.repeat(first[own], windows) + spread(windows)
     order = order[number[order] >= 0]
-    text = np.array(symbols, dtype=np.uint16)
-    rows = text[order[:, None] + np.arange(WINDOW)]
-    begin = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
-    own = number[order]
-    rank[own] = np.repeat(np.minimum.reduceat(rank[own], begin), np.diff(np.append(begin, len(own))))
-
-
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = symbols[order[:, None] + np.arange(depth)]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    new[1:] |= np.diff(np.searchsorted(edges, order, side="right")) != 0
+    part = np.repeat(own, windows)
+    of = np.empty(len(symbols), dtype=np.int64)
+    of[np.repeat(start, windows) + spread(windows)] = part
+    of = of[order]
+    out[number[order]] = least_ranks(parts.rank[of], parts.several[of], np.flatnonzero(new), none)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, None, np.ndarray]:
     raw, offsets = joined_text(texts)
-    return _BYTE[raw], raw, offsets
+    return _BYTE[raw], raw, None, offsets
 
 
-SHAPE = Shape(WINDOW, GRAM, 1, False, _tokens, lambda raw: _BYTE[raw], settle)
+SHAPE = Shape(WINDOW, GRAM, False, _tokens, lambda raw: _BYTE[raw], lambda raw: np.arange(len(raw) + 1), settle)
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 

@@ -1,57 +1,73 @@
 """Removal of repeated word sequences, decided by partitioned suffix trees.
 
 Every word covered by a window of ``WINDOW`` words that also starts earlier, in a
-document with a smaller id or before it in its own, is removed. Windows are
-sampled and exchanged as ``repeats`` describes. The suffixes of contexts that share an
-anchor but differ are split by prefixes of variable length into groups of at
+document with a smaller id or before it in its own, is removed. ``repeats`` brings windows that
+may be equal together, by anchors, each distinct context once a block. The suffixes of a bucket's contexts
+are split by prefixes of variable length into groups of at
 most ``GROUP``; each group's subtree is built down to ``WINDOW`` words, and its nodes at that
-depth are the repeats. Words are compared by 64-bit hashes.
+depth are the repeats. Hashes of words route; the trees compare the words themselves, by numbers
+that a dictionary of the bucket's distinct words gives them.
 
 Defined results: null, empty and blank texts have no words; shorter texts than ``WINDOW``
 words lose nothing; rows that share an id are read as one document's, so that the
-place in each counts; a null id comes after all others.
+place in each counts (equal places tie and both stay); a null id comes after all others; no
+documents give no rows; other columns are dropped, whatever their names. A very long text
+is held by one task whole, at about 20 bytes of memory a byte.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import joined_text, sha_hex, span_hashes, word_spans
-from .repeats import Block, Shape, remove_repeats
-from .suffixes import deep_nodes, prefix_groups
+from .common import sha_hex, span_hashes
+from .repeats import Block, Parts, Shape, least_ranks, remove_repeats
+from .suffixes import deep_nodes, prefix_groups, spread
 
 WINDOW, GRAM, GROUP = 20, 8, 1 << 15
+_BLANK = 0x20
 
 
-def settle(parts: list[bytes], windows: np.ndarray, rank: np.ndarray, gram: np.ndarray) -> np.ndarray:
+def settle(parts: Parts, none: int) -> np.ndarray:
     """Each window's least rank, by the subtrees of prefix groups."""
-    out = np.repeat(rank, windows)
-    words = np.frombuffer(b"".join(parts), dtype=np.uint64)
-    sizes = windows + WINDOW - 1
+    out = np.full(int(parts.windows.sum()), none, dtype=np.int64)
+    split = b"".join(parts.data).split()
+    known = dict(zip(dict.fromkeys(split), count(), strict=False))
+    words = np.fromiter(map(known.__getitem__, split), dtype=np.int64, count=len(split))
+    sizes = parts.windows + WINDOW - 1
     begin = np.cumsum(sizes) - sizes
-    starts = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(len(out))
+    starts = np.repeat(begin, parts.windows) + spread(parts.windows)
     number = np.zeros(len(words), dtype=np.int64)
     number[starts] = np.arange(len(out))
+    owner = np.repeat(np.arange(len(sizes)), parts.windows)
     for own in prefix_groups(words, starts, WINDOW, GROUP):
         order, node = deep_nodes(words, own, WINDOW)
         mine = number[own[order]]
-        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        out[mine] = np.repeat(np.minimum.reduceat(out[mine], first), np.diff(np.append(first, len(mine))))
+        of = owner[mine]
+        out[mine] = least_ranks(parts.rank[of], parts.several[of], np.flatnonzero(np.append(True, node[1:] != node[:-1])), none)
     return out
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw, offsets = joined_text(texts)
-    if not len(raw):
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64)
-    starts, stops, doc = word_spans(raw, offsets)
-    hashes = span_hashes(raw, starts, stops)
-    return hashes, hashes.view(np.uint8), np.searchsorted(doc, np.arange(len(texts) + 1))
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where words that end with a blank each begin, and beyond the last."""
+    return np.append(0, np.flatnonzero(raw == _BLANK) + 1)
+
+
+def _values(raw: np.ndarray) -> np.ndarray:
+    cuts = _cuts(raw)
+    return span_hashes(raw, cuts[:-1], cuts[1:] - 1)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    raw = np.frombuffer(b"".join([b" ".join(words) + b" " for words in split if words]), dtype=np.uint8)
+    return _values(raw), raw, _cuts(raw), np.cumsum([0, *map(len, split)])
 
 
-SHAPE = Shape(WINDOW, GRAM, 8, True, _tokens, lambda raw: raw.view(np.uint64), settle)
+SHAPE = Shape(WINDOW, GRAM, True, _tokens, _values, _cuts, settle)
 KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 

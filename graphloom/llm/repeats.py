@@ -1,29 +1,32 @@
-"""Windows that repeat across documents: sampling, exchange and cover.
+"""Windows that repeat across documents: routing, exchange and cover.
 
 Both repeat removers ask of every window of ``window`` tokens whether the same
 tokens also start elsewhere, earlier. To compare all windows all would
 have to be shuffled. Instead each window is represented by its anchor, the
 ``gram``-token piece inside it with the least hash: equal windows have equal
-anchors at the same place. Consecutive windows with one anchor are a run.
+anchors at the same place. Consecutive windows with one anchor are a run. Anchors only
+route: whether two windows are equal is decided by ``settle``, which is the
+operator's own suffix structure, and without its answer nothing is removed.
 
 The texts are dealt into blocks of about ``BLOCK`` bytes by a hash of the id, in one
-shuffle that three steps read:
+shuffle that three steps read, over as many partitions as there are blocks:
 
 1. A block sends the hashes of its distinct anchors, packed in as few bytes
-   as keep chance repeats rare; a bucket answers with a bit for each hash: whether
-   another block has it. Most of a corpus ends here.
+   as keep chance repeats rare; a bucket answers with two bits for each hash: whether
+   another block has it, and whether it is hot. Most of a corpus ends here.
 2. A block sends the contexts of its runs with a repeated anchor, each distinct
-   context once with its least place in the block, so copies and hot passages are
-   combined before the shuffle. A bucket settles every window's least place
-   over all blocks and answers where that is less than the block's own.
+   context once with its least place in the block and whether it has several there, so
+   copies and hot passages are combined before the shuffle. A bucket drops windows whose
+   hash occurs once and that no block has twice, settles the others, and answers with the
+   least place of each window that repeats.
 3. A block applies the answers to its texts.
 
-Packed rows make the exchange a few bytes a run. A bucket holds windows of
-its anchors only, from each block once; it first drops windows whose hash
-occurs once, and collapses equal contexts, so that what is left for the exact
-order of suffixes (``settle``) is small even under a passage in most documents.
+An anchor is hot if it may have more than about ``HOT`` contexts. Its windows are routed
+one by one, each by its own hash, so a hot anchor is spread over all buckets, and one
+key holds a row a block at most.
 
-An id's place is ``(doc_id, position)``; null ids come last and tie.
+Packed rows make the exchange a few bytes a run. An id's place is ``(doc_id, position)``;
+null ids come last and tie.
 """
 
 from __future__ import annotations
@@ -38,29 +41,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, mix64, text_chunks
+from .suffixes import spread
 
 #: Bytes of text in a block; buckets for each block; window starts, and bytes of contexts, that are looked at together.
 BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 2, 1 << 18, 1 << 20
+#: Shuffle partitions at most; there is one for each block up to here, and beyond each holds several blocks, one after another.
+PARTITIONS = 1 << 15
+#: Blocks that hold an anchor, and runs beyond ``FEW`` a block, from which it is hot.
+HOT, FEW = 1 << 12, 8
 NO_ID = np.iinfo(np.int64).max
 _STEP = 0xD1342543DE82EF95
 _PLACE = np.uint64((1 << 24) - 1)
 
-#: Each window's least rank, from the distinct contexts, their numbers of windows, ranks and anchors.
-Settle = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+@dataclass
+class Parts:
+    """Pieces of contexts, all of whose windows may repeat."""
+
+    #: The bytes of each.
+    data: list[bytes]
+    #: Windows, rank of the place, whether the rank's block has several places, anchor hash, tokens before the anchor.
+    windows: np.ndarray
+    rank: np.ndarray
+    several: np.ndarray
+    gram: np.ndarray
+    lead: np.ndarray
+    #: Whether the anchor is the whole window.
+    whole: np.ndarray
+
+
+#: Each window's least rank if it repeats, and else the number given.
+Settle = Callable[[Parts, int], np.ndarray]
 
 
 @dataclass(frozen=True)
 class Shape:
-    """What is compared: tokens of ``item`` bytes, in windows; ``within`` if an earlier place in the same document counts."""
+    """What is compared: tokens, in windows; ``within`` if an earlier place in the same document counts."""
 
     window: int
     gram: int
-    item: int
     within: bool
-    #: Token hashes, tokens as bytes and each text's first token.
-    tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    #: Token hashes of tokens as bytes.
+    #: Token hashes, the tokens' bytes, where each begins there and beyond the last (``None``: a token is a byte), and each text's first token.
+    tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]
+    #: Token hashes of tokens' bytes.
     values: Callable[[np.ndarray], np.ndarray]
+    #: Where each token begins in tokens' bytes, and beyond the last.
+    cuts: Callable[[np.ndarray], np.ndarray]
     settle: Settle
 
 
@@ -109,7 +135,7 @@ def find_runs(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> Runs:
     edge = np.zeros(len(values) + 1, dtype=np.int32)
     np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - w + 1), 1)
     np.add.at(edge, offsets[1:], -1)
-    whole = np.cumsum(edge[:-1]) == 0
+    whole = np.cumsum(edge[:-1], dtype=np.int32) == 0
     for lo in range(0, len(values) - w + 1, SEGMENT):
         hi = min(lo + SEGMENT, len(values) - w + 1)
         gram = gram_hashes(values[lo : hi + w - 1], shape.gram)
@@ -140,49 +166,69 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids, self.texts, self.shape = [ids[i] for i in order], [texts[i] for i in order], shape
         self.key = np.array([NO_ID if i is None else i for i in self.ids], dtype=np.int64)
-        stored, offsets, runs, base = [], [np.zeros(1, dtype=np.int64)], [], 0
+        stored, cuts, offsets, runs, base, size = [], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)], [], 0, 0
         for lo, hi in text_chunks(self.texts):
-            values, tokens, offs = shape.tokens(self.texts[lo:hi])
+            values, tokens, edges, offs = shape.tokens(self.texts[lo:hi])
             found = find_runs(values, offs, shape)
             runs.append((found.first + base, found.last + base, found.anchor + base, found.gram, found.doc + lo))
             stored.append(tokens)
             offsets.append(offs[1:] + base)
+            if edges is not None:
+                cuts.append(edges[1:] + size)
             base += len(values)
+            size += len(tokens)
         self.stored = np.concatenate(stored) if stored else np.empty(0, dtype=np.uint8)
+        self.cuts = np.concatenate(cuts) if len(cuts) > 1 else None
         self.offsets = np.concatenate(offsets)
         none = np.empty(0, dtype=np.int64)
         self.runs = Runs(*(np.concatenate(x) for x in zip(*runs, strict=True))) if runs else Runs(none, none, none, none.astype(np.uint64), none)
-        self.grams, self.of = np.unique(self.runs.gram, return_inverse=True)
+        self.whole = np.zeros(len(self.runs.first), dtype=bool)
+        self.grams, self.of, self.times = np.unique(self.runs.gram, return_inverse=True, return_counts=True)
 
     def edges(self, buckets: int) -> np.ndarray:
         """Where each bucket's share of the sorted anchors begins."""
-        return np.searchsorted(self.grams, bucket_starts(buckets))
+        edges = np.searchsorted(self.grams, bucket_starts(buckets))
+        edges[-1] = len(self.grams)
+        return edges
+
+    def bytes_of(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens if self.cuts is None else self.cuts[tokens]
 
     def shared_here(self) -> np.ndarray:
         """Of each anchor, whether the block alone repeats it."""
         if not len(self.grams):
             return np.empty(0, dtype=bool)
-        order = np.argsort(self.of, kind="stable")
-        begin = np.searchsorted(self.of[order], np.arange(len(self.grams)))
         if self.shape.within:
-            return np.diff(np.append(begin, len(order))) > 1
+            return self.times > 1
+        order = np.argsort(self.of, kind="stable")
+        begin = np.cumsum(self.times) - self.times
         key = self.key[self.runs.doc[order]]
         return np.minimum.reduceat(key, begin) != np.maximum.reduceat(key, begin)
 
-    def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """The runs with a shared anchor, the context of each, and each context's least run and bytes."""
-        chosen = np.flatnonzero(shared[self.of]) if len(self.of) else np.empty(0, dtype=np.int64)
-        item, raw = self.shape.item, self.stored.tobytes()
-        lows = (self.runs.first[chosen] * item).tolist()
-        highs = ((self.runs.last[chosen] + self.shape.window) * item).tolist()
+    def route(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """Keep the runs with a shared anchor, and make those with a hot one runs of one window each."""
+        keep = np.flatnonzero(shared[self.of] & ~hot[self.of])
+        cut = np.flatnonzero(shared[self.of] & hot[self.of])
+        old, w = self.runs, self.shape.window
+        count = old.last[cut] - old.first[cut] + 1
+        start = np.repeat(old.first[cut], count) + spread(count)
+        raw = self.stored.tobytes()
+        lows, highs = self.bytes_of(old.first[cut]).tolist(), self.bytes_of(old.last[cut] + w).tolist()
+        own = window_hashes([raw[a:b] for a, b in zip(lows, highs, strict=True)], count, self.shape)
+        joined = lambda a, b: np.concatenate([a[keep], b])
+        self.runs = Runs(joined(old.first, start), joined(old.last, start), joined(old.anchor, start), joined(old.gram, mix64(own)), joined(old.doc, np.repeat(old.doc[cut], count)))
+        self.whole = np.arange(len(self.runs.first)) >= len(keep)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The context of each run, and each context's least run, number of places and bytes."""
+        runs, raw = self.runs, self.stored.tobytes()
+        lows, highs = self.bytes_of(runs.first).tolist(), self.bytes_of(runs.last + self.shape.window).tolist()
         number: dict[bytes, int] = {}
-        which = [number.setdefault(raw[a:b], len(number)) for a, b in zip(lows, highs, strict=True)]
-        which = np.array(which, dtype=np.int64)
-        doc = self.runs.doc[chosen]
-        order = np.lexsort((self.runs.anchor[chosen] - self.offsets[doc], self.key[doc]))[::-1]
+        which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(lows, highs, strict=True)], dtype=np.int64)
+        place = np.lexsort((runs.anchor - self.offsets[runs.doc], self.key[runs.doc]))[::-1]
         lead = np.zeros(len(number), dtype=np.int64)
-        lead[which[order]] = chosen[order]  # of equal contexts the last one written is the least
-        return chosen, which, lead, list(number)
+        lead[which[place]] = place  # of equal contexts the last one written is the least
+        return which, lead, np.bincount(which, minlength=len(number)), list(number)
 
 
 def bucket_starts(buckets: int) -> np.ndarray:
@@ -204,8 +250,10 @@ def unpack(data: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-#: Anchor, place of the first window before it, number of windows, least document and anchor position.
-_ASK = ["<u8", "<u4", "<u4", "<i8", "<i8"]
+#: Anchor, place of the first window before it, number of windows, least document and anchor position, and marks.
+_ASK = ["<u8", "<u4", "<u4", "<i8", "<i8", "u1"]
+#: Marks of a context: it has several places in the block; its anchor is the whole window.
+_SEVERAL, _WHOLE = 1, 2
 _PART = "block int, bucket int, data binary"
 
 
@@ -214,47 +262,69 @@ def _rows(block: list[int], bucket: list[int], data: list[bytes]) -> pa.Table:
 
 
 def send_anchors(block: Block, number: int, buckets: int, width: int) -> pa.Table:
+    """For each bucket: how many anchors have more than ``FEW`` runs, the hashes, and the place and runs of those that have."""
     edges = block.edges(buckets)
-    edges[-1] = len(block.grams)
     packed = block.grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    full = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
-    return _rows([number] * len(full), full, [packed[edges[b] : edges[b + 1]].tobytes() for b in full])
+    many = block.times > FEW
+    full, data = np.flatnonzero(edges[1:] > edges[:-1]).tolist(), []
+    for b in full:
+        lo, hi = edges[b], edges[b + 1]
+        at = np.flatnonzero(many[lo:hi])
+        times = np.minimum(block.times[lo:hi][at], (1 << 32) - 1)
+        data.append(np.uint32(len(at)).tobytes() + packed[lo:hi].tobytes() + at.astype("<u4").tobytes() + times.astype("<u4").tobytes())
+    return _rows([number] * len(full), full, data)
 
 
 def answer_anchors(table: pa.Table, width: int) -> pa.Table:
-    """For each block's hashes, a bit where another block has the hash."""
-    data = table.column("data").to_pylist()
-    sizes = [len(d) // width for d in data]
-    hashes = np.zeros((sum(sizes), 8), dtype=np.uint8)
-    hashes[:, :width] = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, width)
-    hashes = hashes.view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    twin = np.zeros(len(hashes), dtype=bool)
-    twin[1:] |= ranked[1:] == ranked[:-1]
-    twin[:-1] |= ranked[1:] == ranked[:-1]
-    shared = np.zeros(len(hashes), dtype=bool)
-    shared[order] = twin
-    bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
-    return table.select(["block", "bucket"]).append_column("data", pa.array(bits, pa.binary()))
-
-
-def shared_anchors(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
+    """For each block's hashes, a bit where another block has the hash and then a bit where it is hot."""
+    hashes, sizes, more = [], [], []
+    for data in table.column("data").to_pylist():
+        many = int.from_bytes(data[:4], "little")
+        n = (len(data) - 4 - 8 * many) // width
+        own = np.zeros((n, 8), dtype=np.uint8)
+        own[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width, offset=4).reshape(-1, width)
+        at, times = np.frombuffer(data, dtype="<u4", offset=4 + n * width).reshape(2, -1)
+        weight = np.ones(n, dtype=np.int64)
+        weight[at] += times
+        hashes.append(own.view(">u8").ravel().astype(np.uint64))
+        sizes.append(n)
+        more.append(weight)
+    order = np.argsort(joined := np.concatenate(hashes), kind="stable")
+    ranked = joined[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    blocks = np.diff(np.append(begin, len(ranked)))
+    weights = np.add.reduceat(np.concatenate(more)[order], begin)
+    bits = []
+    for truth in (blocks > 1, weights > HOT):
+        own = np.zeros(len(joined), dtype=bool)
+        own[order] = np.repeat(truth, blocks)
+        bits.append(np.split(own, np.cumsum(sizes)[:-1]))
+    told = [np.packbits(a).tobytes() + np.packbits(b).tobytes() for a, b in zip(*bits, strict=True)]
+    return table.select(["block", "bucket"]).append_column("data", pa.array(told, pa.binary()))
+
+
+def routed(block: Block, answers: pa.Table, buckets: int) -> Block:
+    """The block with those runs only whose anchor another place has."""
     shared, edges = block.shared_here(), block.edges(buckets)
-    edges[-1] = len(block.grams)
+    hot = np.zeros(len(shared), dtype=bool)
     for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
         lo, hi = edges[b], edges[b + 1]
-        shared[lo:hi] |= np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=hi - lo).astype(bool)
-    return shared
+        both = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(2, -1), axis=1, count=hi - lo).astype(bool)
+        shared[lo:hi] |= both[0]
+        hot[lo:hi] = both[1]
+    block.route(shared, hot)
+    return block
 
 
-def send_contexts(block: Block, shared: np.ndarray, number: int, buckets: int) -> pa.Table:
-    _, _, lead, contexts = block.contexts(shared)
+def send_contexts(block: Block, number: int, buckets: int) -> pa.Table:
+    _, lead, times, contexts = block.contexts()
     runs = block.runs
     gram = runs.gram[lead]
     bucket = np.searchsorted(bucket_starts(buckets)[1:-1], gram, side="right")
     doc = runs.doc[lead]
-    ask = [gram, runs.anchor[lead] - runs.first[lead], runs.last[lead] - runs.first[lead] + 1, block.key[doc], (runs.anchor[lead] - block.offsets[doc]) if block.shape.within else np.zeros(len(lead))]
+    place = (runs.anchor[lead] - block.offsets[doc]) if block.shape.within else np.zeros(len(lead))
+    marks = _SEVERAL * (times > 1) + _WHOLE * block.whole[lead]
+    ask = [gram, runs.anchor[lead] - runs.first[lead], runs.last[lead] - runs.first[lead] + 1, block.key[doc], place, marks]
     out: tuple[list, list, list] = ([], [], [])
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -266,94 +336,66 @@ def send_contexts(block: Block, shared: np.ndarray, number: int, buckets: int) -
     return _rows(*out)
 
 
-def spread(counts: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each count."""
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+def window_hashes(texts: list[bytes], counts: np.ndarray, shape: Shape) -> np.ndarray:
+    """The hash of each window of contexts that have so many windows each, ``SLICE`` bytes at a time."""
+    out, lo, held = [np.empty(0, dtype=np.uint64)], 0, 0
+    for hi, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= SLICE or hi == len(texts):
+            own = counts[lo:hi]
+            values = shape.values(np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8))
+            begin = np.cumsum(own + shape.window - 1) - (own + shape.window - 1)
+            out.append(gram_hashes(values, shape.window)[np.repeat(begin, own) + spread(own)])
+            lo, held = hi, 0
+    return np.concatenate(out)
 
 
 def answer_contexts(table: pa.Table, shape: Shape) -> pa.Table:
-    """The least place of each window where it is less than what the asking block has."""
+    """The least place of each window that repeats, for the contexts of which a block has a later one."""
     blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
-    asked, number, contexts = [], {}, []
-    which: list[int] = []
+    asked, contexts = [], []
     for data in table.column("data").to_pylist():
         arrays, tail = unpack(data, _ASK)
         asked.append(arrays)
-        ends = np.cumsum((arrays[2].astype(np.int64) + shape.window - 1) * shape.item)
-        at = 0
-        for end in ends.tolist():
-            which.append(number.setdefault(tail[at:end], len(number)))
-            at = end
-    contexts = list(number)
-    gram, _, windows, doc, pos = (np.concatenate([a[i] for a in asked]) for i in range(5))
-    of = np.array(which, dtype=np.int64)
+        ends = np.cumsum(arrays[2].astype(np.int64) + shape.window - 1)
+        ends = shape.cuts(np.frombuffer(tail, dtype=np.uint8))[ends].tolist()
+        contexts += [tail[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    gram, lead, windows, doc, pos, marks = (np.concatenate([a[i] for a in asked]) for i in range(6))
+    lead, windows = lead.astype(np.int64), windows.astype(np.int64)
     order = np.lexsort((pos, doc))
-    rank = np.zeros(len(doc), dtype=np.int64)
-    step = np.zeros(len(doc), dtype=bool)
+    step = np.ones(len(doc), dtype=bool)
     step[1:] = (doc[order][1:] != doc[order][:-1]) | (pos[order][1:] != pos[order][:-1])
-    rank[order] = np.cumsum(step)
-    rank_doc, rank_pos = doc[order][np.append(True, step[1:])], pos[order][np.append(True, step[1:])]
-    least = np.full(len(contexts), len(doc), dtype=np.int64)
-    np.minimum.at(least, of, rank)
-    example = np.zeros(len(contexts), dtype=np.int64)
-    example[of] = np.arange(len(of))
-    own_windows, own_gram = windows[example].astype(np.int64), gram[example]
-    settled = np.repeat(least, own_windows)
-    place = np.cumsum(own_windows) - own_windows
-    group = np.argsort(own_gram, kind="stable")
-    several = np.zeros(len(contexts), dtype=bool)
-    alike = own_gram[group][1:] == own_gram[group][:-1]
-    several[group[1:]] |= alike
-    several[group[:-1]] |= alike
-    chosen = group[several[group]]
-    if len(chosen):
-        found = settle_windows([contexts[i] for i in chosen.tolist()], own_windows[chosen], least[chosen], own_gram[chosen], shape)
-        settled[np.repeat(place[chosen], own_windows[chosen]) + spread(own_windows[chosen])] = found
+    rank = np.zeros(len(doc), dtype=np.int64)
+    rank[order] = np.cumsum(step) - 1
+    # the place after all others stands for none
+    rank_doc, rank_pos = np.append(doc[order][step], NO_ID), np.append(pos[order][step], NO_ID)
+    none = len(rank_doc) - 1
+    several, whole = marks & _SEVERAL > 0, marks & _WHOLE > 0
+    best = repeated_windows(contexts, windows, rank, several, gram, lead, whole, shape, none)
+    own = np.repeat(rank, windows)
+    tell = (best < own) | (best == own) & np.repeat(several, windows)
+    told = np.add.reduceat(tell, np.cumsum(windows) - windows, dtype=np.int64) > 0
     out: tuple[list, list, list] = ([], [], [])
-    at = 0
-    for block, bucket, arrays in zip(blocks, buckets, asked, strict=True):
-        n = len(arrays[0])
-        rows, mine = of[at : at + n], rank[at : at + n]
-        sizes = own_windows[rows]
-        best = settled[np.repeat(place[rows], sizes) + spread(sizes)]
-        less = best < np.repeat(mine, sizes)
-        told = np.add.reduceat(less, np.cumsum(sizes) - sizes, dtype=np.int64) > 0
-        if told.any():
-            keep = best[np.repeat(told, sizes)]
-            out[0].append(block)
-            out[1].append(bucket)
-            out[2].append(pack([np.flatnonzero(told).astype("<u4")], np.concatenate([rank_doc[keep], rank_pos[keep]]).astype("<i8").tobytes()))
-        at += n
+    rows = np.cumsum([0, *(len(a[0]) for a in asked)])
+    cells = np.append(0, np.cumsum(windows))[rows]
+    for i in np.flatnonzero(np.add.reduceat(told, rows[:-1], dtype=np.int64)).tolist():
+        mine = told[rows[i] : rows[i + 1]]
+        keep = best[cells[i] : cells[i + 1]][np.repeat(mine, windows[rows[i] : rows[i + 1]])]
+        out[0].append(blocks[i])
+        out[1].append(buckets[i])
+        out[2].append(pack([np.flatnonzero(mine).astype("<u4")], np.concatenate([rank_doc[keep], rank_pos[keep]]).astype("<i8").tobytes()))
     return _rows(*out)
 
 
-def settle_windows(contexts: list[bytes], windows: np.ndarray, rank: np.ndarray, gram: np.ndarray, shape: Shape) -> np.ndarray:
-    """The least rank of each window among contexts in order of their anchors.
+def repeated_windows(contexts: list[bytes], windows: np.ndarray, rank: np.ndarray, several: np.ndarray, gram: np.ndarray, lead: np.ndarray, whole: np.ndarray, shape: Shape, none: int) -> np.ndarray:
+    """The least rank of each window that repeats, and ``none`` for the others.
 
-    Windows whose hash occurs once are settled. The others make shorter
-    contexts, equal ones of which are one; those that still share a window with
-    another go to the exact order of suffixes.
+    Windows whose hash occurs once, in a context that has one place, can't repeat. What is
+    left of the contexts goes to ``settle``.
     """
-    w, item = shape.window, shape.item
-    out = np.repeat(rank, windows)
-
-    def hashed(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-        out, lo, held = [], 0, 0
-        for hi, text in enumerate(texts, 1):
-            held += len(text)
-            if held >= SLICE or hi == len(texts):
-                own = counts[lo:hi]
-                values = shape.values(np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8))
-                begin = np.cumsum(own + w - 1) - (own + w - 1)
-                out.append(gram_hashes(values, w)[np.repeat(begin, own) + spread(own)])
-                lo, held = hi, 0
-        return np.concatenate(out)
-
-    def repeated(h: np.ndarray) -> np.ndarray:
-        _, of, n = np.unique(h, return_inverse=True, return_counts=True)
-        return n[of] > 1
-
-    again = np.flatnonzero(repeated(hashed(contexts, windows)))
+    w, out = shape.window, np.full(int(windows.sum()), none, dtype=np.int64)
+    _, of, n = np.unique(window_hashes(contexts, windows, shape), return_inverse=True, return_counts=True)
+    again = np.flatnonzero((n[of] > 1) | np.repeat(several, windows))
     if not len(again):
         return out
     owner = np.repeat(np.arange(len(contexts)), windows)[again]
@@ -362,43 +404,36 @@ def settle_windows(contexts: list[bytes], windows: np.ndarray, rank: np.ndarray,
     new[1:] = (again[1:] != again[:-1] + 1) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(again)))
-    number: dict[bytes, int] = {}
-    of = np.array(
-        [
-            number.setdefault(contexts[i][a * item : (a + n + w - 1) * item], len(number))
-            for i, a, n in zip(owner[begin].tolist(), inside[begin].tolist(), count.tolist(), strict=True)
-        ],
-        dtype=np.int64,
-    )
-    parts = list(number)
-    part_rank = np.full(len(parts), len(rank) and rank.max() + 1, dtype=np.int64)
-    np.minimum.at(part_rank, of, rank[owner[begin]])
-    example = np.zeros(len(parts), dtype=np.int64)
-    example[of] = np.arange(len(of))
-    part_windows, part_gram = count[example], gram[owner[begin]][example]
-    best = np.repeat(part_rank, part_windows)
-    place = np.cumsum(part_windows) - part_windows
-    open_ = np.add.reduceat(repeated(hashed(parts, part_windows)), place, dtype=np.int64) > 0
-    chosen = np.flatnonzero(open_)
-    if len(chosen):
-        chosen = chosen[np.argsort(part_gram[chosen], kind="stable")]
-        found = shape.settle([parts[i] for i in chosen.tolist()], part_windows[chosen], part_rank[chosen], part_gram[chosen])
-        best[np.repeat(place[chosen], part_windows[chosen]) + spread(part_windows[chosen])] = found
-    out[again] = best[np.repeat(place[of], count) + spread(count)]
+    owner, inside = owner[begin], inside[begin]
+    data = []
+    for i, a, b in zip(owner.tolist(), inside.tolist(), (inside + count + w - 1).tolist(), strict=True):
+        text = contexts[i]
+        if b - a < windows[i] + w - 1:
+            cuts = shape.cuts(np.frombuffer(text, dtype=np.uint8))
+            text = text[cuts[a] : cuts[b]]
+        data.append(text)
+    out[again] = shape.settle(Parts(data, count, rank[owner], several[owner], gram[owner], lead[owner] - inside, whole[owner]), none)
     return out
 
 
-def covered(block: Block, shared: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
+def least_ranks(rank: np.ndarray, several: np.ndarray, begin: np.ndarray, none: int) -> np.ndarray:
+    """The least rank of each run of equal windows if it has several places, and else ``none``; runs start at ``begin``."""
+    size = np.diff(np.append(begin, len(rank)))
+    known = (size > 1) | np.logical_or.reduceat(several, begin)
+    return np.repeat(np.where(known, np.minimum.reduceat(rank, begin), none), size)
+
+
+def covered(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
     """Of each token, whether a window that starts earlier elsewhere covers it."""
-    chosen, which, lead, contexts = block.contexts(shared)
+    which, lead, _, _ = block.contexts()
     runs, w = block.runs, block.shape.window
     cover = np.zeros(int(block.offsets[-1]) + 1, dtype=np.int32)
-    if not len(chosen):
+    if not len(which):
         return cover[:-1] > 0
     windows = runs.last[lead] - runs.first[lead] + 1
     place = np.cumsum(windows) - windows
     position = runs.anchor - block.offsets[runs.doc] if block.shape.within else np.zeros(len(runs.anchor), dtype=np.int64)
-    best_doc, best_pos = np.repeat(block.key[runs.doc[lead]], windows), np.repeat(position[lead], windows)
+    best_doc, best_pos = (np.full(int(windows.sum()), NO_ID, dtype=np.int64) for _ in range(2))
     bucket = np.searchsorted(bucket_starts(buckets)[1:-1], runs.gram[lead], side="right")
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -410,14 +445,14 @@ def covered(block: Block, shared: np.ndarray, answers: pa.Table, buckets: int) -
         best_doc[at], best_pos[at] = both[: len(at)], both[len(at) :]
     sizes = windows[which]
     at = np.repeat(place[which], sizes) + spread(sizes)
-    doc, pos = np.repeat(block.key[runs.doc[chosen]], sizes), np.repeat(position[chosen], sizes)
+    doc, pos = np.repeat(block.key[runs.doc], sizes), np.repeat(position, sizes)
     repeat = best_doc[at] < doc
     if block.shape.within:
         repeat |= (best_doc[at] == doc) & (best_pos[at] < pos)
-    start = (np.repeat(runs.first[chosen], sizes) + spread(sizes))[repeat]
+    start = (np.repeat(runs.first, sizes) + spread(sizes))[repeat]
     np.add.at(cover, start, 1)
     np.add.at(cover, start + w, -1)
-    return np.cumsum(cover[:-1]) > 0
+    return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.ndarray], dict[str, object]], schema: str, kinds: list[pa.DataType]) -> DataFrame:
@@ -437,23 +472,23 @@ def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.nd
     def ask_contexts(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _rows([], [], [])
-        block = Block(rows, shape)
-        return send_contexts(block, shared_anchors(block, answers, buckets), key[0].as_py(), buckets)
+        return send_contexts(routed(Block(rows, shape), answers, buckets), key[0].as_py(), buckets)
 
     def apply(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
-        block = Block(rows, shape)
         bucket = answers.column("bucket").to_numpy()  # bits for anchors came with buckets below zero
         anchors = answers.filter(pa.array(bucket < 0))
         anchors = anchors.set_column(anchors.schema.get_field_index("bucket"), "bucket", pa.array(-1 - bucket[bucket < 0], pa.int32()))
-        shared = shared_anchors(block, anchors, buckets)
-        done = finish(block, covered(block, shared, answers.filter(pa.array(bucket >= 0)), buckets))
+        block = routed(Block(rows, shape), anchors, buckets)
+        done = finish(block, covered(block, answers.filter(pa.array(bucket >= 0)), buckets))
         return pa.table({n: pa.array(done[n], k) for n, k in zip(names, kinds, strict=True)})
 
-    by_block = text.groupBy("block")
-    bits = by_block.applyInArrow(ask_anchors, _PART).groupBy("bucket").applyInArrow(lambda rows: answer_anchors(rows, width), _PART)
-    asked = by_block.cogroup(bits.groupBy("block")).applyInArrow(ask_contexts, _PART)
-    answers = asked.groupBy("bucket").applyInArrow(lambda rows: answer_contexts(rows, shape), _PART)
+    parts = min(blocks, PARTITIONS)
+    by = lambda df, key: df.repartition(parts, key).groupBy(key)
+    by_block = by(text, "block")
+    bits = by(by_block.applyInArrow(ask_anchors, _PART), "bucket").applyInArrow(lambda rows: answer_anchors(rows, width), _PART)
+    asked = by_block.cogroup(by(bits, "block")).applyInArrow(ask_contexts, _PART)
+    answers = by(asked, "bucket").applyInArrow(lambda rows: answer_contexts(rows, shape), _PART)
     both = answers.unionByName(bits.select("block", (-1 - F.col("bucket")).cast("int").alias("bucket"), "data"))
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(apply, schema)
+    return by_block.cogroup(by(both, "block")).applyInArrow(apply, schema)

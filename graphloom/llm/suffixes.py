@@ -81,6 +81,118 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return order
 
 
+def spread(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def suffix_arrays(symbols: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The suffix arrays of many texts, those from each edge to the next, by the same construction in step.
+
+    A text begins and ends with symbol 0, which is less than all others, and may
+    have more of them between its strings; suffixes that begin with one are not
+    sorted. Each step processes the next group in descending order of every text
+    at once, so the Python work is a few array operations a step, and there are as many steps as the
+    text with most different Lyndon prefixes has.
+
+    A group is named by its first place in the order. Places whose prefix is
+    extended move to the end of their group's part, those extended more often last.
+    """
+    n = len(symbols)
+    count = np.diff(edges)
+    key = np.repeat(np.arange(len(count)), count) * (int(symbols.max(initial=0)) + 1) + symbols
+    order = np.argsort(key, kind="stable").astype(np.int64)
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.diff(key[order]) != 0
+    begin = np.flatnonzero(new).astype(np.int64)
+    size = np.zeros(n, dtype=np.int64)
+    size[begin] = np.diff(np.append(begin, n))
+    group, at, before = (np.zeros(n, dtype=np.int64) for _ in range(3))
+    group[order] = np.repeat(begin, size[begin])
+    at[order] = np.arange(n, dtype=np.int64)
+    length = np.ones(n, dtype=np.int64)
+    mark = np.zeros(n, dtype=bool)
+    lowest = (edges[:-1] + size[edges[:-1]]).astype(np.int64)
+
+    def extend(places: np.ndarray, word: np.ndarray) -> None:
+        """Move the places that were pointed at, once for each member that did, into groups of their own."""
+        places, first, times = np.unique(places, return_index=True, return_counts=True)
+        length[places] += (times * word[first]).astype(np.int64)
+        old = group[places]
+        by = np.lexsort((times, old))
+        places, old, times = places[by], old[by], times[by]
+        fresh = np.ones(len(old), dtype=bool)
+        fresh[1:] = old[1:] != old[:-1]
+        start = np.flatnonzero(fresh)
+        gone = np.diff(np.append(start, len(old))).astype(np.int64)
+        left = old[start]
+        to = np.repeat(left + size[left] - gone, gone) + spread(gone).astype(np.int64)
+        source = at[places]
+        mark[to] = True
+        vacant = np.sort(source[~mark[source]])
+        mark[to] = False
+        mark[source] = True
+        moved = order[to[~mark[to]]]
+        mark[source] = False
+        order[vacant], at[moved] = moved, vacant
+        order[to], at[places] = places, to
+        size[left] -= gone
+        fresh[1:] |= times[1:] != times[:-1]
+        start = np.flatnonzero(fresh)
+        named = to[start]
+        size[named] = np.diff(np.append(start, len(old)))
+        group[places] = np.repeat(named, size[named])
+
+    live = np.flatnonzero(lowest < edges[1:])
+    now = group[order[edges[live + 1] - 1]]
+    while len(live):
+        held = size[now]
+        own = np.repeat(now, held)
+        member = order[own + spread(held)]
+        p = member - 1
+        todo = np.flatnonzero(group[p] > own)
+        while len(todo):
+            p[todo] = before[p[todo]]
+            todo = todo[group[p[todo]] > own[todo]]
+        before[member] = p
+        todo = np.flatnonzero(group[p] == own)
+        while len(todo):
+            p[todo] = before[p[todo]]
+            before[member[todo]] = p[todo]
+            todo = todo[group[p[todo]] == own[todo]]
+        inside = np.flatnonzero(symbols[p])
+        if len(inside):
+            extend(p[inside], length[member[inside]])
+        more = now > lowest[live]
+        live, now = live[more], group[order[now[more] - 1]]
+
+    # emit: groups of several in ascending order, each by how often the prefix repeats and the rank of what follows
+    several = np.flatnonzero(size > 1)
+    several = several[group[order[several]] == several]
+    text = np.searchsorted(edges, several, side="right") - 1
+    several, text = several[several >= lowest[text]], text[several >= lowest[text]]
+    turn = spread(np.bincount(text, minlength=len(count)))
+    several = several[np.argsort(turn, kind="stable")]
+    times = np.zeros(n, dtype=np.int64)
+    for now in np.split(several, np.cumsum(np.bincount(turn))[:-1]) if len(several) else []:
+        now = np.sort(now)
+        held = size[now]
+        slot = np.repeat(now, held) + spread(held)
+        own = np.repeat(now, held)
+        member = order[slot]
+        before[member], times[member] = member + length[member], 1  # the pointers now lead forwards
+        todo = np.flatnonzero(group[before[member]] == own)
+        while len(todo):
+            ahead = before[member[todo]]
+            more, end = times[ahead], before[ahead]
+            times[member[todo]] += more
+            before[member[todo]] = end
+            todo = todo[group[end] == own[todo]]
+        member = member[np.lexsort((at[before[member]], times[member], own))]
+        order[slot], at[member] = member, slot
+    return order
+
+
 def prefix_groups(suffixes: np.ndarray, starts: np.ndarray, depth: int, limit: int) -> list[np.ndarray]:
     """Suffixes in groups of at most ``limit``, each of one or several whole prefixes of variable length.
 

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +76,12 @@ def made(seed, n=60):
     return list(enumerate(out)) + [(n, ""), (n + 1, None), (n + 2, "short")]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 700])
-def test_bytes_and_words_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot", "few"), [(8 << 20, 1 << 12, 8), (700, 1 << 12, 8), (700, 2, 1), (8 << 20, 3, 0)])
+def test_bytes_and_words_against_brute_force(spark, monkeypatch, block, hot, few):
+    """Also with anchors that count as hot after a few blocks or runs."""
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "FEW", few)
     for seed in (1, 2):
         rows = made(seed)
         docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, block string, bucket int")
@@ -84,6 +89,44 @@ def test_bytes_and_words_against_brute_force(spark, monkeypatch, block):
         assert sorted(map(tuple, dedup_words.repeats_digest(docs).collect())) == slow_words(rows)
 
 
+@pytest.mark.parametrize("module", [dedup_bytes, dedup_words])
+def test_the_suffix_structure_decides(spark, monkeypatch, module):
+    """Without its answer nothing is removed, not even from exact copies."""
+    rows = made(3) + [(100 + i, "one and the same text " * 9) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda: module.repeats_digest(docs).agg(F.sum("n_removed")).first()[0]
+    assert count() > 0
+    monkeypatch.setattr(module, "SHAPE", replace(module.SHAPE, settle=lambda parts, none: np.full(int(parts.windows.sum()), none)))
+    assert count() == 0
+
+
+def test_long_texts_of_one_anchor(monkeypatch):
+    """Strings of one anchor that are sorted in step and by themselves give the same ranks as a dictionary of windows."""
+    r = random.Random(4)
+    anchor = bytes(r.choices(b"xyz", k=24))
+    data, lead = [], []
+    for _ in range(60):
+        left, right = r.choice((b"ab" * 13, b"aabb" * 6))[-r.randint(3, 26) :], r.choice((b"ba" * 13, b"abb" * 8))[: r.randint(10, 26)]
+        text = (left + anchor + right)[: 26 + 24 + 26]
+        if len(text) >= 50 and len(left) + 24 <= 50:
+            data.append(text)
+            lead.append(len(left))
+    windows = np.array([max(1, min(len(t) - 49, a + 1)) for t, a in zip(data, lead)])
+    data = [t[: n + 49] for t, n in zip(data, windows.tolist())]
+    rank = np.array([r.randrange(20) for _ in data])
+    several = np.array([r.random() < 0.1 for _ in data])
+    places = {}
+    for t, n, k, s in zip(data, windows.tolist(), rank.tolist(), several.tolist()):
+        for i in range(n):
+            places.setdefault(t[i : i + 50], []).append((k, s))
+    want = [min(p)[0] if len(p := places[t[i : i + 50]]) > 1 or p[0][1] else 99 for t, n in zip(data, windows.tolist()) for i in range(n)]
+    assert len(set(want)) > 5
+    for long in (1 << 15, 40):
+        monkeypatch.setattr(dedup_bytes, "LONG", long)
+        parts = repeats.Parts(data, windows, rank, several, np.zeros(len(data), dtype=np.uint64), np.array(lead), np.zeros(len(data), dtype=bool))
+        assert dedup_bytes.settle(parts, 99).tolist() == want
+
+
 def test_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

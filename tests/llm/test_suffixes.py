@@ -31,3 +31,21 @@ def test_prefix_groups_and_subtrees():
             for k in range(node.max() + 1):
                 found.append(frozenset(own[order][node == k].tolist()))
         assert set(found) == set(map(frozenset, truth.values()))
+
+
+def test_suffix_arrays_in_step():
+    r = random.Random(6)
+    for _ in range(150):
+        symbols, edges = [], [0]
+        for _ in range(r.randint(1, 5)):
+            base = [r.randint(1, 3) for _ in range(r.randint(1, 25))]
+            for _ in range(r.randint(0, 5)):
+                symbols += [0, *(base if r.random() < 0.5 else r.choices(range(1, r.choice((3, 5))), k=r.randint(0, 40)))]
+            symbols.append(0)
+            edges.append(len(symbols))
+        order = suffixes.suffix_arrays(np.array(symbols), np.array(edges)).tolist()
+        for lo, hi in zip(edges, edges[1:]):
+            found = [i for i in order[lo:hi] if symbols[i]]
+            assert sorted(order[lo:hi]) == list(range(lo, hi))
+            rest = [symbols[i : symbols.index(0, i)] for i in found]
+            assert rest == sorted(rest)
