@@ -17,11 +17,16 @@ Words are runs of letters and digits after Unicode case folding, so that a
 copy in capitals is found in any language (characters beyond ASCII count as
 letters). Defined results: null texts and texts without
 words, on either side, match nothing; repeated items and documents give
-repeated rows; a null id stays null; an empty table gives no rows.
+repeated rows; a null id stays null; an empty table gives no rows; a very long
+text is searched in pieces, with the same result; other columns are dropped by
+``find_leaks``, whatever their names. An item of fewer than ``SHINGLE`` words is found wherever its
+words stand together, but ``drop_leaks`` drops a document for it only if the document has no
+other words: such an item is a phrase that clean documents have too.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,6 +39,9 @@ from .common import SEPARATOR, batch_of, doc_text, joined_text, mix64, span_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 16 << 20
+#: Characters from which a text is searched in pieces.
+LONG = 1 << 20
+_BREAK, _WORD = re.compile(r"[\x00-/:-@\[-`{-\x7f]"), re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 _STEP = np.uint64(0xD1342543DE82EF95)
 LEAKS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
@@ -51,6 +59,19 @@ def shingle_hashes(word_hash: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.n
     return mix64(h[at]), at
 
 
+def text_pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about ``LONG`` characters that end between words; each begins with the last ``SHINGLE - 1`` words of the one before."""
+    a, done, last = 0, 0, []
+    while True:
+        edge = _BREAK.search(text, done + LONG)
+        end = edge.start() if edge else len(text)
+        yield text[a:end]
+        if end == len(text):
+            return
+        last = [*last, *(m.start() for m in _WORD.finditer(text, done, end))][1 - SHINGLE :]
+        a, done = last[0] if last else end, end
+
+
 class Words:
     """Words of joined texts and their hashes."""
 
@@ -69,7 +90,7 @@ class Index:
     """Signatures of the items, by size partition and shingle length."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, shingle: int = SHINGLE):
-        self.ids = [i for i, _ in items]
+        self.ids, self.texts = [i for i, _ in items], [t or "" for _, t in items]
         self.threshold = threshold
         self.sets: list[set[tuple[bytes, ...]]] = []
         self.lengths: list[int] = []
@@ -93,20 +114,41 @@ class Index:
             seen[keys >> np.uint64(44)] = True
             self.probes[n] = (keys, np.array([i for _, i in found], dtype=np.int64), seen)
 
+    def candidates(self, words: Words) -> set[tuple[int, int]]:
+        """(text, item) that share a signature hash."""
+        pairs: set[tuple[int, int]] = set()
+        for n, (keys, numbers, seen) in self.probes.items():
+            h, at = shingle_hashes(words.hashes, words.doc, n)
+            some = np.flatnonzero(seen[h >> np.uint64(44)])
+            first = np.searchsorted(keys, h[some], side="left")
+            last = np.searchsorted(keys, h[some], side="right")
+            for k, a, b in zip(words.doc[at[some[last > first]]].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                pairs.update((k, i) for i in numbers[a:b].tolist())
+        return pairs
+
+    def leaks_of_long(self, text: str) -> list[tuple[int, int, int]]:
+        """The same for one long text, piece by piece: memory follows the piece, and not the text."""
+        found = sorted({i for piece in text_pieces(text) for _, i in self.candidates(Words([piece]))})
+        hits: dict[int, set] = {i: set() for i in found}
+        for piece in text_pieces(text) if found else ():
+            words = Words([piece])
+            for n in {self.lengths[i] for i in found}:
+                own = words.shingles(0, len(words.starts), n)
+                for i in found:
+                    if self.lengths[i] == n:
+                        hits[i] |= self.sets[i] & own
+        return [(i, len(self.sets[i]), len(h)) for i, h in hits.items() if len(h) >= self.threshold * len(self.sets[i]) - 1e-9]
+
     def leaks(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, the item's shingles, shared shingles) of every pair over the threshold."""
         out = []
         for lo, hi in text_chunks(texts):
+            if hi - lo == 1 and len(texts[lo]) > LONG:
+                out += [(lo, *found) for found in self.leaks_of_long(texts[lo])]
+                continue
             words = Words(texts[lo:hi])
             edges = np.searchsorted(words.doc, np.arange(hi - lo + 1))
-            pairs: set[tuple[int, int]] = set()
-            for n, (keys, numbers, seen) in self.probes.items():
-                h, at = shingle_hashes(words.hashes, words.doc, n)
-                some = np.flatnonzero(seen[h >> np.uint64(44)])
-                first = np.searchsorted(keys, h[some], side="left")
-                last = np.searchsorted(keys, h[some], side="right")
-                for k, a, b in zip(words.doc[at[some[last > first]]].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-                    pairs.update((k, i) for i in numbers[a:b].tolist())
+            pairs = self.candidates(words)
             sets: dict[tuple[int, int], set] = {}
             for k, i in sorted(pairs):
                 n = self.lengths[i]
@@ -118,6 +160,10 @@ class Index:
         return out
 
 
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.casefold())
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items, a bounded block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
@@ -163,7 +209,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def clean(texts, shared=shared, built=built):  # noqa: ANN001, ANN202
             if not built:
                 built.append(Index(shared.value))
-            held = {k for k, _, _, _ in built[0].leaks(texts.tolist())}
+            own = texts.tolist()
+            held = {k for k, i, _, _ in built[0].leaks(own) if built[0].lengths[i] >= SHINGLE or _words(own[k]) == _words(built[0].texts[i])}
             return texts.index.to_series().map(lambda k, first=texts.index[0]: k - first not in held)
 
         docs = docs.where(F.pandas_udf(clean, "boolean")(F.coalesce(F.col("text"), F.lit(""))))

@@ -13,18 +13,21 @@ Many anchors have few contexts, and those texts are sorted in step (``suffix_arr
 Defined results: null and empty texts, and texts shorter than ``WINDOW``, lose nothing;
 ids that repeat don't remove each other (ties); a null id comes after all others;
 strings never cross documents, and overlapping repeats are removed together; no
-documents give no rows; other columns are dropped, whatever their names. A very long text is
-held by one task whole, at about 30 bytes of memory a byte.
+documents give no rows; other columns are dropped, whatever their names; a very long text is cut,
+compared part by part and put together again, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _BYTE, joined_text, sha_hex
-from .repeats import Block, Parts, Shape, least_ranks, remove_repeats
+from . import repeats
+from .common import _BYTE, joined_text
+from .repeats import Parts, Shape, least_ranks, remove_repeats
 from .suffixes import spread, suffix_array, suffix_arrays
 
 WINDOW, GRAM = 50, 24
@@ -94,9 +97,9 @@ def _settle_texts(parts: Parts, raw: np.ndarray, begin: np.ndarray, first: np.nd
     number = np.full(len(symbols), -1, dtype=np.int64)
     number[np.repeat(start, windows) + spread(windows)] = np.repeat(first[own], windows) + spread(windows)
     order = order[number[order] >= 0]
-    rows = symbols[order[:, None] + np.arange(depth)]
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(symbols, depth)[order]).view(f"V{2 * depth}").ravel()
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    new[1:] = rows[1:] != rows[:-1]
     new[1:] |= np.diff(np.searchsorted(edges, order, side="right")) != 0
     part = np.repeat(own, windows)
     of = np.empty(len(symbols), dtype=np.int64)
@@ -110,32 +113,31 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, None, np.ndarray]
     return _BYTE[raw], raw, None, offsets
 
 
-SHAPE = Shape(WINDOW, GRAM, False, _tokens, lambda raw: _BYTE[raw], lambda raw: np.arange(len(raw) + 1), settle)
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def _parts(raw: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """Parts end between characters, and take a window's bytes from either side."""
 
+    def edge(at: int, step: int) -> int:
+        while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += step
+        return min(max(at, 0), len(raw))
 
-def _finish(block: Block, cover: np.ndarray) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": block.ids, "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-    for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
-        gone, raw = cover[a:b], block.stored[a:b]
-        removed = int(np.count_nonzero(gone))
-        out["n_bytes"].append(b - a)
-        out["n_removed"].append(removed)
-        out["n_spans"].append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if removed else 0)
-        out["kept"].append((raw[~gone] if removed else raw).tobytes())
-    return out
+    edges = [edge(at, 1) for at in range(0, len(raw), repeats.PART)] + [len(raw)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        lo, hi = edge(a - WINDOW, -1), edge(b + WINDOW, 1)
+        yield lo, a - lo, b - a, raw[lo:hi].tobytes()
+
+
+def _keep(raw: bytes, gone: np.ndarray) -> bytes:
+    return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes() if len(gone) else raw
 
 
-def _digest(block: Block, cover: np.ndarray) -> dict[str, list]:
-    done = _finish(block, cover)
-    return done | {"kept_sha256": [sha_hex(k) for k in done["kept"]]}
+SHAPE = Shape(WINDOW, GRAM, False, _tokens, lambda raw: _BYTE[raw], lambda raw: np.arange(len(raw) + 1), settle, _parts, _keep, b"")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, counts and the bytes that stay of every document."""
-    return remove_repeats(docs, SHAPE, _finish, KEPT, [pa.int64()] * 4 + [pa.binary()])
+    return remove_repeats(docs, SHAPE, False).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs, SHAPE, _digest, DIGEST, [pa.int64()] * 4 + [pa.string()])
+    return remove_repeats(docs, SHAPE, True).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -11,24 +11,27 @@ that a dictionary of the bucket's distinct words gives them.
 Defined results: null, empty and blank texts have no words; shorter texts than ``WINDOW``
 words lose nothing; rows that share an id are read as one document's, so that the
 place in each counts (equal places tie and both stay); a null id comes after all others; no
-documents give no rows; other columns are dropped, whatever their names. A very long text
-is held by one task whole, at about 20 bytes of memory a byte.
+documents give no rows; other columns are dropped, whatever their names; a very long text is cut,
+compared part by part and put together again, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sha_hex, span_hashes
-from .repeats import Block, Parts, Shape, least_ranks, remove_repeats
+from . import repeats
+from .common import SPACE, span_hashes
+from .repeats import Parts, Shape, least_ranks, remove_repeats
 from .suffixes import deep_nodes, prefix_groups, spread
 
 WINDOW, GRAM, GROUP = 20, 8, 1 << 15
-_BLANK = 0x20
+#: The blank, and bytes that are looked through at once for one.
+_BLANK, _LOOK = 0x20, 1 << 12
 
 
 def settle(parts: Parts, none: int) -> np.ndarray:
@@ -67,31 +70,43 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return _values(raw), raw, _cuts(raw), np.cumsum([0, *map(len, split)])
 
 
-SHAPE = Shape(WINDOW, GRAM, True, _tokens, _values, _cuts, settle)
-KEPT = "doc_id long, n_words long, n_removed long, kept binary"
-DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+def _parts(raw: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """Parts end between words, and take a window's words from either side."""
 
+    def edge(at: int) -> int:
+        while at < len(raw):
+            blank = np.flatnonzero(SPACE[raw[at : at + _LOOK]])
+            if len(blank):
+                return at + int(blank[0])
+            at += _LOOK
+        return len(raw)
 
-def _finish(block: Block, cover: np.ndarray) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": block.ids, "n_words": [], "n_removed": [], "kept": []}
-    for text, a, b in zip(block.texts, block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
-        words, gone = text.encode("utf-8", "surrogatepass").split(), cover[a:b]
-        removed = int(np.count_nonzero(gone))
-        out["n_words"].append(len(words))
-        out["n_removed"].append(removed)
-        out["kept"].append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if removed else words))
-    return out
+    a, base, tail = 0, 0, []
+    while a < len(raw):
+        b = edge(min(a + repeats.PART, len(raw)))
+        words = raw[a:b].tobytes().split()
+        ahead, end = [], b
+        while len(ahead) < WINDOW and end < len(raw):  # the last of these may be cut, and is not taken
+            end = edge(min(end + _LOOK, len(raw)))
+            ahead = raw[b:end].tobytes().split()
+        yield base - len(tail), len(tail), len(words), b" ".join([*tail, *words, *ahead[: WINDOW - 1]])
+        base += len(words)
+        tail = [*tail, *words][-(WINDOW - 1) :]
+        a = b
+
+
+def _keep(raw: bytes, gone: np.ndarray) -> bytes:
+    words = raw.split()
+    return b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if len(gone) else words)
 
 
-def _digest(block: Block, cover: np.ndarray) -> dict[str, list]:
-    done = _finish(block, cover)
-    return done | {"kept_sha256": [sha_hex(k) for k in done["kept"]]}
+SHAPE = Shape(WINDOW, GRAM, True, _tokens, _values, _cuts, settle, _parts, _keep, b" ")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, counts and the words that stay, one blank apart, of every document."""
-    return remove_repeats(docs, SHAPE, _finish, KEPT, [pa.int64()] * 3 + [pa.binary()])
+    return remove_repeats(docs, SHAPE, False).drop("spans").toDF("doc_id", "n_words", "n_removed", "kept")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs, SHAPE, _digest, DIGEST, [pa.int64()] * 3 + [pa.string()])
+    return remove_repeats(docs, SHAPE, True).drop("spans").toDF("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -25,26 +25,34 @@ An anchor is hot if it may have more than about ``HOT`` contexts. Its windows ar
 one by one, each by its own hash, so a hot anchor is spread over all buckets, and one
 key holds a row a block at most.
 
+A text longer than ``PART`` is cut into parts that overlap by a window on either side, which are
+compared like texts of their own, each at its place; what stays of them is put together
+at the end. So a long text is held whole only where it is read and where it is written.
+
 Packed rows make the exchange a few bytes a run. An id's place is ``(doc_id, position)``;
 null ids come last and tie.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, mix64, text_chunks
+from .common import checkpoint_dir, doc_text, mix64, sha_hex, text_chunks
 from .suffixes import spread
 
 #: Bytes of text in a block; buckets for each block; window starts, and bytes of contexts, that are looked at together.
 BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 2, 1 << 18, 1 << 20
+#: Bytes of a text from which it is cut, and of each part without what it shares with its neighbours.
+PART = 4 << 20
 #: Shuffle partitions at most; there is one for each block up to here, and beyond each holds several blocks, one after another.
 PARTITIONS = 1 << 15
 #: Blocks that hold an anchor, and runs beyond ``FEW`` a block, from which it is hot.
@@ -88,6 +96,11 @@ class Shape:
     #: Where each token begins in tokens' bytes, and beyond the last.
     cuts: Callable[[np.ndarray], np.ndarray]
     settle: Settle
+    #: A long text's parts: tokens before the part's first, tokens shared with the part before, own tokens, and the text.
+    parts: Callable[[np.ndarray], Iterator[tuple[int, int, int, bytes]]]
+    #: What stays of tokens' bytes, and what stands between parts of it.
+    keep: Callable[[bytes, np.ndarray], bytes]
+    glue: bytes
 
 
 def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
@@ -165,6 +178,8 @@ class Block:
         texts = table.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids, self.texts, self.shape = [ids[i] for i in order], [texts[i] for i in order], shape
+        #: Of each row: the text's number and its part (-1: all of it), tokens before its first, tokens that are its neighbour's, and own ones (-1: all).
+        self.row = {c: table.column(c).to_numpy()[order] if order else np.empty(0, dtype=np.int64) for c in ("number", "part", "base", "skip", "own")}
         self.key = np.array([NO_ID if i is None else i for i in self.ids], dtype=np.int64)
         stored, cuts, offsets, runs, base, size = [], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)], [], 0, 0
         for lo, hi in text_chunks(self.texts):
@@ -191,6 +206,10 @@ class Block:
         edges[-1] = len(self.grams)
         return edges
 
+    def positions(self) -> np.ndarray:
+        """Where each run's anchor stands in its document."""
+        return self.runs.anchor - self.offsets[self.runs.doc] + self.row["base"][self.runs.doc]
+
     def bytes_of(self, tokens: np.ndarray) -> np.ndarray:
         return tokens if self.cuts is None else self.cuts[tokens]
 
@@ -225,7 +244,7 @@ class Block:
         lows, highs = self.bytes_of(runs.first).tolist(), self.bytes_of(runs.last + self.shape.window).tolist()
         number: dict[bytes, int] = {}
         which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(lows, highs, strict=True)], dtype=np.int64)
-        place = np.lexsort((runs.anchor - self.offsets[runs.doc], self.key[runs.doc]))[::-1]
+        place = np.lexsort((self.positions(), self.key[runs.doc]))[::-1]
         lead = np.zeros(len(number), dtype=np.int64)
         lead[which[place]] = place  # of equal contexts the last one written is the least
         return which, lead, np.bincount(which, minlength=len(number)), list(number)
@@ -322,7 +341,7 @@ def send_contexts(block: Block, number: int, buckets: int) -> pa.Table:
     gram = runs.gram[lead]
     bucket = np.searchsorted(bucket_starts(buckets)[1:-1], gram, side="right")
     doc = runs.doc[lead]
-    place = (runs.anchor[lead] - block.offsets[doc]) if block.shape.within else np.zeros(len(lead))
+    place = block.positions()[lead] if block.shape.within else np.zeros(len(lead))
     marks = _SEVERAL * (times > 1) + _WHOLE * block.whole[lead]
     ask = [gram, runs.anchor[lead] - runs.first[lead], runs.last[lead] - runs.first[lead] + 1, block.key[doc], place, marks]
     out: tuple[list, list, list] = ([], [], [])
@@ -432,7 +451,7 @@ def covered(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
         return cover[:-1] > 0
     windows = runs.last[lead] - runs.first[lead] + 1
     place = np.cumsum(windows) - windows
-    position = runs.anchor - block.offsets[runs.doc] if block.shape.within else np.zeros(len(runs.anchor), dtype=np.int64)
+    position = block.positions() if block.shape.within else np.zeros(len(runs.anchor), dtype=np.int64)
     best_doc, best_pos = (np.full(int(windows.sum()), NO_ID, dtype=np.int64) for _ in range(2))
     bucket = np.searchsorted(bucket_starts(buckets)[1:-1], runs.gram[lead], side="right")
     order = np.argsort(bucket, kind="stable")
@@ -455,16 +474,82 @@ def covered(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
-def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.ndarray], dict[str, object]], schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """``finish`` of every block, given which of its tokens are covered."""
-    names = [p.split()[0] for p in schema.split(", ")]
+#: A text or a part of one: what was counted, whether its ends are removed, and what stays or, of a whole text, its digest.
+_PIECE = "doc_id long, number long, part long, n long, removed long, spans long, opens boolean, closes boolean, kept binary, sha string"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("number", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("opens", pa.bool_()), ("closes", pa.bool_()), ("kept", pa.binary()), ("sha", pa.string())])
+_TEXT = "doc_id long, text string, number long, part long, base long, skip long, own long"
+
+
+def pieces(block: Block, cover: np.ndarray, digest: bool) -> pa.Table:
+    """What is left of the block's texts and parts, each without what is its neighbours'."""
+    shape, out = block.shape, {n: [] for n in _PIECES.names}
+    raw, numbers, parts, skips, owns = block.stored.tobytes(), *(block.row[c].tolist() for c in ("number", "part", "skip", "own"))
+    for i, (a, b) in enumerate(zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
+        a += skips[i]
+        b = b if owns[i] < 0 else a + owns[i]
+        gone = cover[a:b]
+        removed = int(np.count_nonzero(gone))
+        lo, hi = (a, b) if block.cuts is None else (int(block.cuts[a]), int(block.cuts[b]))
+        kept = shape.keep(raw[lo:hi], gone if removed else gone[:0])
+        whole = parts[i] < 0
+        row = (block.ids[i], numbers[i], parts[i], b - a, removed, int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if removed else 0)
+        row += (bool(removed and gone[0]), bool(removed and gone[-1]), None if whole and digest else kept, sha_hex(kept) if whole and digest else None)
+        for n, x in zip(_PIECES.names, row, strict=True):
+            out[n].append(x)
+    return pa.table(out, schema=_PIECES)
+
+
+def joined_pieces(table: pa.Table, glue: bytes, digest: bool) -> pa.Table:
+    """One text of its parts. A run of removed tokens that goes on in the next part is one."""
+    rows = table.sort_by("part")
+    spans, closed = 0, False
+    for own, opens, closes in zip(*(rows.column(c).to_pylist() for c in ("spans", "opens", "closes")), strict=True):
+        spans += own - (opens and closed)
+        closed = closes
+    total, parts, empty = hashlib.sha256(), [], True
+    for cell in rows.column("kept"):
+        data = cell.as_buffer()
+        if data.size:
+            for x in (data,) if empty else (glue, data):
+                total.update(x) if digest else parts.append(bytes(x))
+            empty = False
+    first = rows.slice(0, 1)
+    row = {"doc_id": first.column("doc_id").to_pylist(), "number": first.column("number").to_pylist(), "part": [-1], "n": [sum(rows.column("n").to_pylist())], "removed": [sum(rows.column("removed").to_pylist())]}
+    row |= {"spans": [spans], "opens": [False], "closes": [False], "kept": [None if digest else b"".join(parts)], "sha": [total.hexdigest() if digest else None]}
+    return pa.table(row, schema=_PIECES)
+
+
+def cut_texts(rows: DataFrame, shape: Shape) -> DataFrame:
+    """The parts of long texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint8)
+                for k, (base, skip, own, text) in enumerate(shape.parts(raw)):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([text], pa.binary()).cast(pa.string()), *(pa.array([x], pa.int64()) for x in (number, k, base, skip, own))], names=[c.split()[0] for c in _TEXT.split(", ")])
+                number += 1
+
+    return rows.mapInArrow(run, _TEXT)
+
+
+def remove_repeats(docs: DataFrame, shape: Shape, digest: bool) -> DataFrame:
+    """``doc_id, n, removed, spans`` of every document, with what stays (``kept``) or its digest (``sha``)."""
     text = doc_text(docs)
-    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    length = F.octet_length("text").cast("long")
+    size, longest = text.agg(F.coalesce(F.sum(length), F.lit(0)), F.coalesce(F.max(length), F.lit(0))).first()
     blocks = int(size // BLOCK) + 1
     buckets = blocks * BUCKETS
     # enough bytes that among all anchors one in 2**12 at most has a chance twin
     width = min(8, (max(1, size // 10).bit_length() + 12 + 7) // 8)
-    text = text.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    none = [F.lit(x).cast("long").alias(c) for c, x in (("number", 0), ("part", -1), ("base", 0), ("skip", 0), ("own", -1))]
+    whole = text.select("doc_id", "text", *none)
+    if longest > PART:
+        whole = whole.where(length <= PART).unionByName(cut_texts(text.where(length > PART), shape))
+    of = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), "part")
+    text = whole.select(F.pmod(of, F.lit(blocks)).cast("int").alias("block"), "*")
 
     def ask_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         return send_anchors(Block(rows, shape), key[0].as_py(), buckets, width)
@@ -476,13 +561,12 @@ def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.nd
 
     def apply(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+            return _PIECES.empty_table()
         bucket = answers.column("bucket").to_numpy()  # bits for anchors came with buckets below zero
         anchors = answers.filter(pa.array(bucket < 0))
         anchors = anchors.set_column(anchors.schema.get_field_index("bucket"), "bucket", pa.array(-1 - bucket[bucket < 0], pa.int32()))
         block = routed(Block(rows, shape), anchors, buckets)
-        done = finish(block, covered(block, answers.filter(pa.array(bucket >= 0)), buckets))
-        return pa.table({n: pa.array(done[n], k) for n, k in zip(names, kinds, strict=True)})
+        return pieces(block, covered(block, answers.filter(pa.array(bucket >= 0)), buckets), digest)
 
     parts = min(blocks, PARTITIONS)
     by = lambda df, key: df.repartition(parts, key).groupBy(key)
@@ -491,4 +575,10 @@ def remove_repeats(docs: DataFrame, shape: Shape, finish: Callable[[Block, np.nd
     asked = by_block.cogroup(by(bits, "block")).applyInArrow(ask_contexts, _PART)
     answers = by(asked, "bucket").applyInArrow(lambda rows: answer_contexts(rows, shape), _PART)
     both = answers.unionByName(bits.select("block", (-1 - F.col("bucket")).cast("int").alias("bucket"), "data"))
-    return by_block.cogroup(by(both, "block")).applyInArrow(apply, schema)
+    out = by_block.cogroup(by(both, "block")).applyInArrow(apply, _PIECE)
+    if longest > PART:
+        checkpoint_dir(docs.sparkSession)
+        out = out.checkpoint()
+        cut = out.where("part >= 0").groupBy("number").applyInArrow(lambda rows: joined_pieces(rows, shape.glue, digest), _PIECE)
+        out = out.where("part < 0").unionByName(cut)
+    return out.select("doc_id", "n", "removed", "spans", "sha" if digest else "kept")

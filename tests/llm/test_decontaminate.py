@@ -1,5 +1,6 @@
 import re
 
+from graphloom.llm import decontaminate
 from graphloom.llm import decontaminate as d
 
 
@@ -50,3 +51,32 @@ def test_copies_in_capitals(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert sorted(r.doc_id for r in d.find_leaks(frame, bench).collect()) == [1, 2]
     assert [r.doc_id for r in d.drop_leaks(frame, bench).collect()] == [3]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text that is searched in pieces gives what it gives whole, wherever the cuts fall."""
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choices("abcdeé", k=r.randint(1, 9)))
+    items = [" ".join(word() for _ in range(n)) for n in (1, 3, 5, 6, 12, 40)]
+    texts = []
+    for _ in range(6):
+        parts = []
+        for _ in range(30):
+            parts.append(r.choice(items) if r.random() < 0.2 else " ".join(word() for _ in range(r.randint(1, 30))))
+        texts.append(r.choice((" ", "\n", ", ")).join(parts) + "z" * r.choice((0, 500)))
+    index = decontaminate.Index(list(enumerate(items)))
+    want = index.leaks(texts)
+    assert len(want) > 10
+    for long in (1, 20, 90, 700):
+        monkeypatch.setattr(decontaminate, "LONG", long)
+        assert sorted(index.leaks(texts)) == sorted(want)
+
+
+def test_short_items_condemn_only_whole_documents(spark):
+    bench = spark.createDataFrame([(1, "yes indeed"), (2, "one two three four five six")], "item_id long, text string")
+    rows = [(1, "Yes, indeed!"), (2, "he said yes indeed and left"), (3, "x one two three four five six y"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [2, 4]

@@ -76,10 +76,11 @@ def made(seed, n=60):
     return list(enumerate(out)) + [(n, ""), (n + 1, None), (n + 2, "short")]
 
 
-@pytest.mark.parametrize(("block", "hot", "few"), [(8 << 20, 1 << 12, 8), (700, 1 << 12, 8), (700, 2, 1), (8 << 20, 3, 0)])
-def test_bytes_and_words_against_brute_force(spark, monkeypatch, block, hot, few):
-    """Also with anchors that count as hot after a few blocks or runs."""
+@pytest.mark.parametrize(("block", "hot", "few", "part"), [(8 << 20, 1 << 12, 8, 4 << 20), (700, 1 << 12, 8, 4 << 20), (700, 2, 1, 90), (8 << 20, 3, 0, 4 << 20), (8 << 20, 1 << 12, 8, 150)])
+def test_bytes_and_words_against_brute_force(spark, monkeypatch, block, hot, few, part):
+    """Also with anchors that count as hot after a few blocks or runs, and with texts that are cut."""
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "PART", part)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "FEW", few)
     for seed in (1, 2):
@@ -145,3 +146,17 @@ def test_odd_rows(spark):
     assert dedup_bytes.repeats_digest(none).count() == dedup_words.repeats_digest(none).count() == 0
     kept = {r.doc_id: r.kept for r in dedup_words.without_repeats(docs.where("doc_id = 7")).collect()}
     assert kept == {7: bytearray(t.encode())}
+
+
+def test_long_texts_are_cut_and_joined(spark, monkeypatch):
+    """What stays of texts that are cut, of words longer than a part, and of blanks alone."""
+    monkeypatch.setattr(repeats, "PART", 64)
+    r = random.Random(7)
+    words = ["".join(r.choices("aé🙂", k=r.choice((1, 3, 9, 200)))) for _ in range(60)]
+    rows = [(1, " ".join(words)), (2, "x" * 70 + " \n\t " + " ".join(words[10:50]) + "  "), (3, " " * 300), (2, "é" * 100), (5, " ".join(words[5:40] + words[5:40]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, slow, got in ((dedup_bytes, slow_bytes, ("n_bytes", "n_removed", "n_spans")), (dedup_words, slow_words, ("n_words", "n_removed"))):
+        digest = sorted(map(tuple, module.repeats_digest(docs).collect()))
+        assert digest == slow(rows)
+        plain = sorted((x.doc_id, *(x[c] for c in got), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in module.without_repeats(docs).collect())
+        assert plain == digest
