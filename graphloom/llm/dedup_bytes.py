@@ -5,7 +5,7 @@ smaller id is removed. ``repeats`` brings strings that may be equal together, by
 The contexts of an anchor, each distinct one once a block, are the strings of one text; its suffixes are
 sorted by the linear grouping construction, and neighbours in the suffix array with
 ``WINDOW`` equal bytes are one string. As all contexts of an anchor hold it, it is one
-symbol there.
+symbol there, and so are each few bytes behind it.
 
 Many anchors have few contexts, and those texts are sorted in step (``suffix_arrays``),
 ``BATCH`` symbols at a time; a text longer than ``LONG`` is sorted by itself.
@@ -33,8 +33,8 @@ from .suffixes import spread, suffix_array, suffix_arrays
 WINDOW, GRAM = 50, 24
 #: Symbols that are sorted in step; symbols of a text that is sorted by itself.
 BATCH, LONG = 1 << 18, 1 << 15
-#: Symbol of the anchor; bytes are one more than they are, and 0 ends a string.
-ANCHOR = 257
+#: Symbol of the anchor; bytes are one more than they are, 0 ends a string, and ``PACK`` bytes behind the anchor are one symbol above.
+ANCHOR, PACK = 257, 5
 
 
 def settle(parts: Parts, none: int) -> np.ndarray:
@@ -56,7 +56,8 @@ def settle(parts: Parts, none: int) -> np.ndarray:
         new = np.ones(len(order), dtype=bool)
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
         text = np.cumsum(new) - 1
-        size = np.bincount(text, parts.windows[chosen[order]] + (WINDOW if whole else WINDOW - GRAM + 1)).astype(np.int64)
+        each = np.full(len(order), 1 + WINDOW // PACK) if whole else parts.lead[chosen[order]] + 2 + (WINDOW - GRAM) // PACK
+        size = np.bincount(text, each).astype(np.int64)
         by_size = np.argsort(size, kind="stable")  # texts of about one size take about as many steps
         turn = np.empty(len(size), dtype=np.int64)
         turn[by_size] = np.arange(len(size))
@@ -72,40 +73,47 @@ def settle(parts: Parts, none: int) -> np.ndarray:
 
 
 def _settle_texts(parts: Parts, raw: np.ndarray, begin: np.ndarray, first: np.ndarray, own: np.ndarray, text: np.ndarray, whole: bool, none: int, out: np.ndarray) -> None:
-    """Sort the suffixes of texts, each of the strings with one number, and write their windows' least ranks."""
-    depth = WINDOW if whole else WINDOW - GRAM + 1
+    """Sort the suffixes of texts, each of the strings with one number, and write their windows' least ranks.
+
+    Windows begin before the anchor or with it, so what follows it has the same alignment in all
+    strings, and ``PACK`` bytes of it are one symbol: packed symbols are in the order of their bytes.
+    """
     windows = parts.windows[own]
-    length = windows + depth - 1
+    left = np.zeros(len(own), dtype=np.int64) if whole else parts.lead[own]
+    tail = begin[own] + left + (0 if whole else GRAM)
+    packs = -(-(begin[own] + windows + WINDOW - 1 - tail) // PACK)
+    length = left + (not whole) + packs
     opens = np.ones(len(own), dtype=np.int64)  # a 0 before each string, and one after each text
     opens[1:] += text[1:] != text[:-1]
     start = np.cumsum(opens) + np.cumsum(length) - length
-    symbols = np.zeros(int(start[-1] + length[-1]) + 1, dtype=np.int16)
-    inside = spread(length)
-    source = np.repeat(begin[own], length) + inside
-    anchor = np.repeat(parts.lead[own], length)
-    if whole:
-        symbols[np.repeat(start, length) + inside] = raw[source].astype(np.int16) + 1
-    else:
-        found = raw[source + (GRAM - 1) * (inside > anchor)].astype(np.int16) + 1
-        symbols[np.repeat(start, length) + inside] = np.where(inside == anchor, ANCHOR, found)
+    symbols = np.zeros(int(start[-1] + length[-1]) + 1, dtype=np.int64)
+    inside = spread(left)
+    symbols[np.repeat(start, left) + inside] = raw[np.repeat(begin[own], left) + inside].astype(np.int64) + 1
+    if not whole:
+        symbols[start + left] = ANCHOR
+    inside = spread(packs)
+    at, end = np.repeat(tail, packs) + PACK * inside, np.repeat(begin[own] + windows + WINDOW - 1, packs)
+    packed = np.zeros(len(at), dtype=np.int64)
+    for _ in range(PACK):
+        packed = packed * ANCHOR + np.where(at < end, raw[np.minimum(at, len(raw) - 1)].astype(np.int64) + 1, 0)
+        at += 1
+    symbols[np.repeat(start + left + (not whole), packs) + inside] = packed + ANCHOR
     fresh = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     edges = np.append(start[fresh] - 1, len(symbols))
     if len(edges) == 2 and len(symbols) > LONG:
-        order = np.array(suffix_array([*(symbols.astype(np.int64) + 1).tolist(), 0]), dtype=np.int64)[1:]
+        order = np.array(suffix_array([*(symbols + 1).tolist(), 0]), dtype=np.int64)[1:]
     else:
         order = suffix_arrays(symbols, edges)
     number = np.full(len(symbols), -1, dtype=np.int64)
-    number[np.repeat(start, windows) + spread(windows)] = np.repeat(first[own], windows) + spread(windows)
-    order = order[number[order] >= 0]
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(symbols, depth)[order]).view(f"V{2 * depth}").ravel()
+    number[np.repeat(start, windows) + spread(windows)] = np.arange(int(windows.sum()))
+    order = number[order]
+    order = order[order >= 0]
+    part = np.repeat(own, windows)[order]
+    inside = spread(windows)[order]
+    rows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[begin[part] + inside].view(f"V{WINDOW}").ravel()
     new = np.ones(len(order), dtype=bool)
     new[1:] = rows[1:] != rows[:-1]
-    new[1:] |= np.diff(np.searchsorted(edges, order, side="right")) != 0
-    part = np.repeat(own, windows)
-    of = np.empty(len(symbols), dtype=np.int64)
-    of[np.repeat(start, windows) + spread(windows)] = part
-    of = of[order]
-    out[number[order]] = least_ranks(parts.rank[of], parts.several[of], np.flatnonzero(new), none)
+    out[first[part] + inside] = least_ranks(parts.rank[part], parts.several[part], np.flatnonzero(new), none)
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, None, np.ndarray]:
