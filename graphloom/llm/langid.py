@@ -15,7 +15,8 @@ the text, and all of it.
 
 Defined results: null and empty texts and texts without letters are ``und`` with
 score 0; ties go to the language whose name sorts first; with no labelled row
-at all every text is ``und``; repeated rows are predicted alike.
+at all every text is ``und``; repeated rows are predicted alike; an empty table gives no rows; a very long text is
+compressed whole, piece by piece; other columns are dropped by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ def train(docs: DataFrame, docs_each: int = DOCS, dict_bytes: int = DICT_BYTES)
         return {}
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("dictionary")), F.lit(1 << 30)) / (1 << 30)
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, docs_each / n)]), F.col("lang"))
-    rows = labelled.where(draw < rate).select("lang", draw.alias("draw"), "text").collect()
+    # no document gives more than a dictionary, however long it is: the driver gets at most four bytes a character of that
+    rows = labelled.where(draw < rate).select("lang", draw.alias("draw"), F.left("text", F.lit(2 * dict_bytes)).alias("text")).collect()
     texts: dict[str, list[str]] = {k: [] for k in sorted(counts)}
     for row in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         texts[row["lang"]].append(row["text"])

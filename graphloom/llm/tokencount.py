@@ -1,11 +1,10 @@
 """Token counts by dynamic programming shared along a trie.
 
 A text's pre-tokens are its words, each with the word mark of the vocabulary
-in front. The distinct pre-tokens of a chunk of documents form a trie, walked in
-sorted order: the stack holds the forward scores of the current path, so the
-scores of a prefix that pre-tokens share are computed once, and each pre-token's
-number of tokens is stored where it ends. A document's count is the sum over its
-words.
+in front. The distinct pre-tokens of a chunk of documents are inserted in a trie. A walk
+computes each node's forward score once, from those of the nodes above it, whatever
+number of pre-tokens goes through it, and where a pre-token ends its number of tokens
+is stored. A document's count is the sum over its words.
 
 The vocabulary is a public one. Its pieces come by rank and the model is a
 unigram one over them, with Zipf's law for the score: ``-log(rank + 1)``, counted
@@ -14,7 +13,8 @@ token each, at a score of ``UNKNOWN`` below the lowest. Of equal scores the one
 fewer tokens counts.
 
 Defined results: null, empty and blank texts have 0; a null ``doc_id`` stays;
-repeated rows repeat.
+repeated rows repeat, and have equal counts; no documents give no rows; very long texts are counted whole, a chunk of texts
+at a time and a longer text alone; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,40 +43,61 @@ def piece_scores(path: str) -> dict[str, float]:
     return {p: -math.log(rank + 1) for rank, p in enumerate(pieces)}
 
 
-def count_tokens(words: Iterable[str], scores: dict[str, float]) -> dict[str, int]:
-    """Tokens of each distinct pre-token."""
-    unknown = min(scores.values(), default=0.0) - UNKNOWN
-    ends: dict[str, float | None] = dict.fromkeys(p[i:] for p in scores for i in range(1, len(p)))  # what pieces end in: longer candidates are pointless beyond
-    ends.update(scores)
-    get = ends.get
-    totals: dict[str, int] = {}
-    best, count = [0.0], [0]  # forward scores and token counts of the prefixes on the path
-    last = ""
-    for word in sorted(words):
-        token = MARK + word
-        keep = 0
-        for a, b in zip(last, token, strict=False):
-            if a != b:
-                break
-            keep += 1
-        del best[keep + 1 :], count[keep + 1 :]
-        for i in range(keep + 1, len(token) + 1):
-            top, n = best[i - 1] + unknown, count[i - 1] + len(token[i - 1].encode("utf-8", "surrogatepass"))
+class Trie:
+    """Pre-tokens by their characters; a node has its children and, if a pre-token ends there, its count."""
+
+    def __init__(self) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.counts: dict[int, int] = {}
+
+    def insert(self, token: str) -> int:
+        """The node where the token ends."""
+        node, children = 0, self.children
+        for char in token:
+            below = children[node].get(char)
+            if below is None:
+                below = children[node][char] = len(children)
+                children.append({})
+            node = below
+        self.counts[node] = 0
+        return node
+
+    def count(self, scores: dict[str, float], ends: dict[str, float | None], unknown: float) -> None:
+        """Forward scores of every node, and the counts of those where a pre-token ends."""
+        get, counts, children = ends.get, self.counts, self.children
+        best, fewest = [0.0], [0]  # of the prefixes on the path
+        stack = [(node, char) for char, node in children[0].items()]
+        while stack:
+            node, token = stack.pop()
+            i = len(token)
+            del best[i:], fewest[i:]
+            top, n = best[i - 1] + unknown, fewest[i - 1] + len(token[-1].encode("utf-8", "surrogatepass"))
             for j in range(i - 1, -1, -1):
-                s = get(token[j:i], 1.0)
+                s = get(token[j:], 1.0)
                 if s is None:
                     continue
                 if s == 1.0:
                     break
                 s += best[j]
                 if s >= top:
-                    n = min(n, count[j] + 1) if s == top else count[j] + 1
+                    n = min(n, fewest[j] + 1) if s == top else fewest[j] + 1
                     top = s
             best.append(top)
-            count.append(n)
-        totals[word] = count[-1]
-        last = token
-    return totals
+            fewest.append(n)
+            if node in counts:
+                counts[node] = n
+            stack += [(below, token + char) for char, below in children[node].items()]
+
+
+def count_tokens(words: Iterable[str], scores: dict[str, float]) -> dict[str, int]:
+    """Tokens of each distinct pre-token."""
+    # what pieces end in, so that the search stops where no longer piece can match
+    ends: dict[str, float | None] = dict.fromkeys(p[i:] for p in scores for i in range(1, len(p)))
+    ends.update(scores)
+    trie = Trie()
+    nodes = {word: trie.insert(MARK + word) for word in words}
+    trie.count(scores, ends, min(scores.values(), default=0.0) - UNKNOWN)
+    return {word: trie.counts[node] for word, node in nodes.items()}
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
