@@ -13,10 +13,6 @@ SPARQL: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey AS k, o_totalprice AS price, o_orderdate AS day FROM orders WHERE o_orderstatus = 'F'",
     ),
     "bgp_chain_fk": (
-        "SELECT ?k ?nation WHERE { ?o :o_orderkey ?k ; :o_custkey/:c_nationkey/:n_name ?nation FILTER(?k < 500) }",
-        "SELECT DISTINCT o_orderkey AS k, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 500",
-    ),
-    "bgp_chain_fk_all": (
         "SELECT ?k ?nation WHERE { ?o :o_orderkey ?k ; :o_custkey/:c_nationkey/:n_name ?nation }",
         "SELECT DISTINCT o_orderkey AS k, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
     ),
@@ -216,10 +212,6 @@ SPARQL: dict[str, tuple[str, str | None]] = {
         "SELECT '\"1\"^^<http://www.w3.org/2001/XMLSchema#integer>' AS p",
     ),
     "path_plus": (
-        "SELECT ?x ?y WHERE { ?x (:o_custkey|:c_nationkey|:n_regionkey)+ ?y FILTER(STRSTARTS(STR(?x), 'urn:tpch:nation/')) }",
-        "SELECT '<urn:tpch:nation/' || n_nationkey || '>' AS x, '<urn:tpch:region/' || n_regionkey || '>' AS y FROM nation",
-    ),
-    "path_plus_all": (
         "SELECT ?x ?y WHERE { ?x (:o_custkey|:c_nationkey|:n_regionkey)+ ?y }",
         """WITH edges AS (SELECT 'orders/' || o_orderkey AS x, 'customer/' || o_custkey AS y FROM orders UNION SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation),
            two AS (SELECT a.x, b.y FROM edges a JOIN edges b ON a.y = b.x), three AS (SELECT a.x, b.y FROM two a JOIN edges b ON a.y = b.x)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from . import algebra as A
 from .parser.sparql import parse_query
 from .plans.compiler import Compiler, construct, describe, output
 from .plans.rewrite import indented, optimise, tree
-from .plans.values import stored
+from .plans.values import none, stored
 from .store import QuadGraph
 from .terms import Term
 
@@ -29,8 +30,12 @@ class Engine:
             raise A.Refused("FROM over mapped tables")
         return self.source
 
-    def query(self, text: str) -> DataFrame | bool | str:
-        """A frame for SELECT, CONSTRUCT and DESCRIBE, a boolean for ASK, text for EXPLAIN."""
+    def query(self, text: str, terms: bool = False) -> DataFrame | bool | str:
+        """A frame for SELECT, CONSTRUCT and DESCRIBE, a boolean for ASK, text for EXPLAIN.
+
+        SELECT's columns are native where the kind is known, or with ``terms`` all stored terms, which tell an IRI from a text:
+        what result formats are written from.
+        """
         q = parse_query(text, prefixes=self.prefixes)
         pattern = optimise(q.pattern, q.disabled)
         source = self._source(q.dataset)
@@ -38,16 +43,16 @@ class Engine:
             return self._explain(q, pattern, source)
         r = Compiler(self.spark, source).run(pattern)
         if q.form == "select":
-            return output(r, q.names)
+            return r.df.select(*[stored(r.vals[n] if n in r.vals else none()).alias(n) for n in q.names]) if terms else output(r, q.names)
         if q.form == "ask":
             return not r.df.isEmpty()
         if q.form == "construct":
             return construct(r, q.template)
-        seeds = self.spark.createDataFrame([(t.stored,) for t in q.targets if isinstance(t, Term)], "s string")
-        for n in q.names:
-            if n in r.vals:
-                seeds = seeds.unionByName(r.df.select(stored(r.vals[n]).alias("s")).where("s is not null"))
-        return describe(source, seeds)
+        named = [r.df.select(stored(r.vals[n]).alias("s")).where("s is not null") for n in q.names if n in r.vals]
+        targets = [t for t in q.targets if isinstance(t, Term)]
+        if not targets and not named:
+            return self.spark.createDataFrame([], "s string, p string, o string")
+        return describe(source, targets, reduce(DataFrame.unionByName, named) if named else None)
 
     def _explain(self, q: A.Query, pattern: object, source: object) -> str:
         plan = tree(pattern)
@@ -58,8 +63,8 @@ class Engine:
             return json.dumps({"form": q.form, "plan": plan, "estimated_bytes": estimate, "physical": spark_plan})
         return f"{q.form}\n{indented(plan)}\nestimated bytes: {estimate}\n{spark_plan}"
 
-    def select(self, text: str) -> DataFrame:
-        out = self.query(text)
+    def select(self, text: str, terms: bool = False) -> DataFrame:
+        out = self.query(text, terms)
         if not isinstance(out, DataFrame):
             raise A.Refused("not a form with rows")
         return out

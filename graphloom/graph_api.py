@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .parser.rdf import parse, to_ntriples, to_turtle
+from .parser.sparql import parse_query
+from .sources.results import FORMATS, graph_lines, term_of
 from .store import SCHEMA, Store
 from .terms import Term, literal, parse_stored
 from .terms import iri as URIRef  # noqa: N812
@@ -33,6 +35,46 @@ def as_term(value: object) -> Term | None:
     return value if value is None or isinstance(value, Term) else literal(value)
 
 
+class Result:
+    """A query's result: ``type``, ``vars``, length, truth, and rows as tuples of terms (None where unbound)."""
+
+    def __init__(self, type: str, answer: DataFrame | bool | str):  # noqa: A002
+        self.type, self.answer = type, answer
+
+    @property
+    def frame(self) -> DataFrame:
+        if not isinstance(self.answer, DataFrame):
+            raise TypeError(f"{self.type} has no rows")
+        return self.answer
+
+    @property
+    def vars(self) -> list[str]:
+        return list(self.answer.columns) if isinstance(self.answer, DataFrame) else []
+
+    def __len__(self) -> int:
+        return self.answer.count() if isinstance(self.answer, DataFrame) else 1
+
+    def __bool__(self) -> bool:
+        return not self.answer.isEmpty() if isinstance(self.answer, DataFrame) else bool(self.answer)
+
+    def __iter__(self) -> Iterator[object]:
+        if not isinstance(self.answer, DataFrame):
+            yield self.answer
+            return
+        for row in self.answer.toLocalIterator():
+            yield tuple(term_of(cell) for cell in row)
+
+    @property
+    def bindings(self) -> Iterator[dict[str, Term]]:
+        """Rows as dicts of what is bound."""
+        for row in self:
+            yield {n: t for n, t in zip(self.vars, row, strict=True) if t is not None}
+
+    def serialize(self, format: str = "json") -> Iterator[str]:  # noqa: A002
+        """Pieces of text in a result format, or N-Triples for graphs."""
+        return graph_lines(self.frame) if format in ("nt", "ntriples") else FORMATS[format](self.frame)
+
+
 class Graph:
     """A default graph on Spark: ``add``, ``remove``, patterns, queries, updates, parsing and serialising.
 
@@ -121,6 +163,11 @@ class Graph:
         self.flush()
         return Engine(self.spark, self.store.quads, prefixes=self.prefixes).query(text)
 
+    def result(self, text: str) -> Result:
+        """The same with its type, variables, length and rows as terms."""
+        self.flush()
+        return Result(parse_query(text, prefixes=self.prefixes).form.upper(), Engine(self.spark, self.store.quads, prefixes=self.prefixes).query(text, terms=True))
+
     def update(self, text: str) -> Graph:
         self.flush()
         Updater(self.spark, self.store, self.prefixes).run(text)

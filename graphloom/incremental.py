@@ -9,12 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.closure import GUARD, checkpointed
+from .operators.closure import FEW, GUARD, PARTS, Kept, checkpointed, light, together
 from .reason.engine import fixpoint
-from .reason.evaluate import delta_steps, pattern, step
+from .reason.evaluate import delta_steps, derived_again, pattern, step
 from .reason.rules import Rule
 
 KEY = ["s", "p", "o"]
+#: Changes, as a share of a table's rows, from which they are put into it.
+FOLD = 0.25
 FEED = "s string, p string, o string, mult long, time long, kind string, rule string"
 
 
@@ -93,6 +95,55 @@ def _weighted(rule: Rule, sources: list[DataFrame]) -> DataFrame:
 # ticks
 
 
+@dataclass
+class Keyed:
+    """A table of facts with one value each, as a base and the changes since; the last change of a fact tells.
+
+    Changes are kept beside the base, and put into a new one when they are more than ``FOLD`` of it.
+    """
+
+    base: DataFrame
+    value: str
+    rows: int = 0
+    events: list[DataFrame] = field(default_factory=list)
+    changed: int = 0
+
+    def overlay(self) -> DataFrame:
+        last = F.max_by(F.struct(self.value, "there"), "at").alias("x")
+        return together(self.events).groupBy(*KEY).agg(last).select(*KEY, f"x.{self.value}", "x.there")
+
+    def current(self) -> DataFrame:
+        if not self.events:
+            return self.base
+        over = self.overlay()
+        there = over.where("there").select(*KEY, self.value)
+        if not self.rows:
+            return there
+        return self.base.join(light(over.select(*KEY), self.changed), KEY, "left_anti").unionByName(there)
+
+    def lookup(self, keys: DataFrame, n: int) -> DataFrame:
+        """The rows of some facts: the base is scanned, and shuffled only if they are many."""
+        asked = light(keys.select(*KEY), n)
+        found = self.base.join(asked, KEY, "left_semi")
+        if not self.events:
+            return found
+        over = self.overlay().join(asked, KEY, "left_semi")
+        there = over.where("there").select(*KEY, self.value)
+        return found.join(over, KEY, "left_anti").unionByName(there) if self.rows else there
+
+    def write(self, rows: DataFrame) -> int:
+        """Facts with their new value, and ``there`` false for those that go."""
+        part = checkpointed(rows.select(*KEY, self.value, "there", F.lit(len(self.events)).alias("at")))
+        n = part.count()
+        if n:
+            self.events.append(part)
+            self.changed += n
+            if self.changed > max(FEW, FOLD * self.rows) or len(self.events) > 4 * PARTS:
+                self.base = checkpointed(self.current())
+                self.rows, self.events, self.changed = self.base.count(), [], 0
+        return n
+
+
 @dataclass
 class Circuit:
     """Facts kept current under assertions and retractions.
@@ -101,20 +152,33 @@ class Circuit:
     all that was derived through them; what the survivors still derive comes
     back, so facts that only support each other in a cycle go. Only net changes
     are published. What is there depends on the log alone, not on its ticks.
+
+    A tick looks up, joins and writes what is touched. The facts are scanned as the other side of those
+    joins, and are neither shuffled nor rewritten while what is touched is small.
     """
 
     spark: SparkSession
     rules: list[Rule]
     time: int = 0
-    base: DataFrame | None = None
-    facts: DataFrame | None = None
     feed: list[DataFrame] = field(default_factory=list)
+    asserted: Keyed | None = None
+    known: Keyed | None = None
+    #: Rows that the last tick wrote.
+    written: int = 0
     _log: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        if self.base is None:
-            self.base = self.spark.createDataFrame([], "s string, p string, o string, mult long")
-            self.facts = self.spark.createDataFrame([], "s string, p string, o string, rule string")
+        if self.asserted is None:
+            self.asserted = Keyed(self.spark.createDataFrame([], "s string, p string, o string, mult long"), "mult")
+            self.known = Keyed(self.spark.createDataFrame([], "s string, p string, o string, rule string"), "rule")
+
+    @property
+    def base(self) -> DataFrame:
+        return self.asserted.current()
+
+    @property
+    def facts(self) -> DataFrame:
+        return self.known.current()
 
     def assert_(self, triples: DataFrame) -> None:
         self.log(triples.select(*KEY, F.lit(1).cast("long").alias("mult")))
@@ -126,68 +190,97 @@ class Circuit:
         """Signed changes ``s, p, o, mult``."""
         self._log.append(changes.select(*KEY, F.col("mult").cast("long").alias("mult")))
 
-    def _once(self, known: DataFrame, new: DataFrame) -> DataFrame:
+    def _once(self, known: DataFrame, new: DataFrame) -> DataFrame | None:
+        """What the rules give with at least one new fact."""
         dirty = {r["p"] for r in new.select("p").distinct().collect()}
         steps = [s.select(*KEY, "rule") for r in self.rules for s in delta_steps(r, known, new, dirty)]
-        if not steps:
-            return self.facts.limit(0)
-        return reduce(DataFrame.unionByName, steps).groupBy(*KEY).agg(F.min("rule").alias("rule"))
+        return together(steps).groupBy(*KEY).agg(F.min("rule").alias("rule")) if steps else None
 
-    def _grow(self, known: DataFrame, new: DataFrame, within: DataFrame | None = None) -> DataFrame:
-        """``known`` and all that follows from ``new``, or as much of it as is ``within``."""
-        known = checkpointed(known.unionByName(new))
+    def _grow(self, known: DataFrame, new: DataFrame, within: DataFrame | None = None) -> list[DataFrame]:
+        """``new`` and all that follows from it and what is known, or as much of it as is ``within``, in parts."""
+        parts, n = [new], new.count()
         for _ in range(GUARD):
-            if new.isEmpty():
-                return known
-            step_ = self._once(known.select(*KEY), new.select(*KEY)).join(known, KEY, "left_anti")
+            if not n:
+                return parts
+            whole = known.select(*KEY).unionByName(together(parts).select(*KEY))
+            found = self._once(whole, light(new.select(*KEY), n))
+            if found is None:
+                return parts
+            found = found.join(whole, KEY, "left_anti")
             if within is not None:
-                step_ = step_.join(within, KEY, "left_semi")
-            new = checkpointed(step_)
-            known = checkpointed(known.unionByName(new))
+                found = found.join(within, KEY, "left_semi")
+            new = checkpointed(found)
+            n = new.count()
+            parts.append(new)
+            if len(parts) > PARTS:
+                parts = [checkpointed(together(parts))]
         raise RuntimeError("the rules did not settle")
 
     def tick(self) -> DataFrame:
         """Apply the log and publish the net changes of this tick."""
         self.time += 1
+        self.written = 0
         if not self._log:
             empty = self.spark.createDataFrame([], FEED)
             self.feed.append(empty)
             return empty
-        delta = consolidated(reduce(DataFrame.unionByName, self._log))
+        delta = checkpointed(consolidated(together(self._log)))
         self._log = []
-        was = present(self.base)
-        self.base = checkpointed(plus(self.base, delta))
-        now = present(self.base)
-        before = self.facts
-        gone = checkpointed(was.join(now, KEY, "left_anti"))
-        after = before
-        if not gone.isEmpty():
-            after = self._shrunk(before, gone, now)
-        added = now.join(after, KEY, "left_anti").select(*KEY, F.lit(None).cast("string").alias("rule"))
-        # facts that were derived and are asserted now lose their rule, and the other way round
-        after = self._grow(after, checkpointed(added))
-        own = now.withColumn("~own", F.lit(True))
-        self.facts = checkpointed(after.join(own, KEY, "left").select(*KEY, F.when(F.col("~own").isNull(), F.coalesce("rule", F.lit("derived"))).alias("rule")))
-        out = self._published(before, self.facts)
+        n = delta.count()
+        was = self.asserted.lookup(delta, n).withColumnRenamed("mult", "old")
+        touched = checkpointed(delta.join(was, KEY, "left").select(*KEY, F.coalesce("old", F.lit(0)).alias("old"), (F.coalesce("old", F.lit(0)) + F.col("mult")).alias("mult")))
+        self.written += self.asserted.write(touched.withColumn("there", F.col("mult") != 0))
+        gone, come = touched.where("old > 0 and mult <= 0").select(*KEY), touched.where("old <= 0 and mult > 0").select(*KEY)
+        before = self.known.current()
+        none = F.lit(None).cast("string").alias("rule")
+        dead, back = self._shrunk(before, gone)
+        left = before if dead is None else before.join(dead, KEY, "left_anti")
+        held = left if back is None else left.unionByName(back)
+        there = held.join(light(come, n), KEY, "left_semi")
+        fresh = checkpointed(come.join(there, KEY, "left_anti").select(*KEY, none))
+        grown = together(self._grow(held, fresh))
+        if back is not None:
+            grown = grown.unionByName(back.join(grown.select(*KEY), KEY, "left_anti"))
+        # facts that were derived and are asserted now lose their rule
+        after = checkpointed(grown.unionByName(there.select(*KEY, none).join(grown.select(*KEY), KEY, "left_anti")).withColumn("there", F.lit(True)))
+        changes = after
+        if dead is not None:
+            changes = after.unionByName(dead.join(after, KEY, "left_anti").select(*KEY, none, F.lit(False).alias("there")))
+        changes = checkpointed(changes)
+        n = changes.count()
+        old = checkpointed(self.known.lookup(changes, n))
+        self.written += self.known.write(changes)
+        out = self._published(old, changes.where("there").drop("there"))
         self.feed.append(out)
         return out
 
-    def _shrunk(self, before: DataFrame, gone: DataFrame, now: DataFrame) -> DataFrame:
-        """What is left without the retracted facts: over-delete, then derive again."""
-        known = before.select(*KEY)
-        dead, new = gone, gone
+    def _shrunk(self, before: DataFrame, gone: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """What goes with the retracted facts, and what of it the others still give: over-delete, then derive again."""
+        gone = checkpointed(gone)
+        n = gone.count()
+        if not n:
+            return None, None
+        now = present(self.asserted.current())
+        known, parts, new = before.select(*KEY), [gone], gone
         for _ in range(GUARD):
-            step_ = self._once(known, new).select(*KEY).join(known, KEY, "left_semi").join(dead, KEY, "left_anti").join(now, KEY, "left_anti")
-            new = checkpointed(step_)
-            if new.isEmpty():
+            found = self._once(known, light(new, n))
+            if found is None:
+                break
+            found = found.select(*KEY).join(known, KEY, "left_semi")
+            new = checkpointed(found.join(together(parts), KEY, "left_anti").join(now, KEY, "left_anti"))
+            n = new.count()
+            if not n:
                 break
-            dead = checkpointed(dead.unionByName(new))
-        left = checkpointed(before.join(dead, KEY, "left_anti"))
-        again = [s.select(*KEY, "rule") for r in self.rules for s in [step(r, [left.select(*KEY)] * len(r.body))]]
+            parts.append(new)
+            if len(parts) > PARTS:
+                parts = [checkpointed(together(parts))]
+        dead = checkpointed(together(parts))
+        left = before.join(dead, KEY, "left_anti")
+        again = [derived_again(r, left.select(*KEY), dead).select(*KEY, "rule") for r in self.rules]
         if not again:
-            return left
-        back = reduce(DataFrame.unionByName, again).groupBy(*KEY).agg(F.min("rule").alias("rule")).join(dead, KEY, "left_semi").join(left, KEY, "left_anti")
-        return self._grow(left, checkpointed(back), within=dead)
+            return dead, None
+        back = together(again).groupBy(*KEY).agg(F.min("rule").alias("rule")).join(dead, KEY, "left_semi")
+        return dead, checkpointed(together(self._grow(left, checkpointed(back), within=dead)))
 
     def _published(self, before: DataFrame, after: DataFrame) -> DataFrame:
         def side(a: DataFrame, b: DataFrame, mult: int) -> DataFrame:
@@ -197,16 +290,22 @@ class Circuit:
         return checkpointed(side(before, after, -1).unionByName(side(after, before, 1)))
 
     def snapshot(self, time: int) -> DataFrame:
-        """The facts as of a time, from the feed."""
+        """The facts as of a time: the feed up to it, or the facts of now without the feed since, whichever is shorter."""
+        if 2 * time > self.time:
+            later = self.feed[time:]
+            if not later:
+                return self.facts.select(*KEY)
+            net = consolidated(together(later).select(*KEY, "mult"))
+            return self.facts.select(*KEY).join(net.where("mult > 0"), KEY, "left_anti").unionByName(net.where("mult < 0").select(*KEY))
         parts = self.feed[:time]
         if not parts:
             return self.facts.limit(0).select(*KEY)
-        return present(consolidated(reduce(DataFrame.unionByName, parts).select(*KEY, "mult")))
+        return present(consolidated(together(parts).select(*KEY, "mult")))
 
     def weights(self) -> DataFrame:
         """How often each rule derives each fact in one step."""
         steps = [step(r, [self.facts.select(*KEY)] * len(r.body)).select(*KEY, "rule") for r in self.rules]
-        return reduce(DataFrame.unionByName, steps).groupBy(*KEY, "rule").agg(F.count(F.lit(1)).alias("weight"))
+        return together(steps).groupBy(*KEY, "rule").agg(F.count(F.lit(1)).alias("weight"))
 
     def recomputed(self) -> DataFrame:
         """The facts from nothing: what a tick must agree with."""
@@ -214,7 +313,110 @@ class Circuit:
 
     def validate(self) -> None:
         """The facts equal the recomputed ones and the feed's sum."""
-        for other in (self.recomputed(), self.snapshot(self.time)):
-            own = self.facts.select(*KEY)
+        fed = present(consolidated(together(self.feed).select(*KEY, "mult")))
+        own = checkpointed(self.facts.select(*KEY))
+        for other in (self.recomputed(), fed):
             if not own.exceptAll(other).isEmpty() or not other.exceptAll(own).isEmpty():
                 raise AssertionError("the circuit is out of step")
+
+
+@dataclass
+class ClosurePlan:
+    """One transitive predicate kept by its closure in place of rules.
+
+    ``retract`` tells what is withdrawn and what is promoted: asserted pairs that went and that the
+    others still entail, which are inferred from then on.
+    """
+
+    predicate: str
+    kept: Kept
+
+    @staticmethod
+    def over(triples: DataFrame, predicate: str) -> ClosurePlan:
+        return ClosurePlan(predicate, Kept.of_base(_edges(triples, predicate)))
+
+    def _facts(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("src").alias("s"), F.lit(self.predicate).alias("p"), F.col("dst").alias("o"))
+
+    def facts(self) -> DataFrame:
+        """``s, p, o, asserted``."""
+        own = self.kept.base.withColumn("asserted", F.lit(True))
+        pairs = self.kept.closed.join(own, ["src", "dst"], "left")
+        return pairs.select(F.col("src").alias("s"), F.lit(self.predicate).alias("p"), F.col("dst").alias("o"), F.coalesce("asserted", F.lit(False)).alias("asserted"))
+
+    def insert(self, triples: DataFrame) -> DataFrame:
+        """The facts that are new."""
+        return self._facts(self.kept.insert(_edges(triples, self.predicate)))
+
+    def retract(self, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The facts withdrawn, and those promoted."""
+        removed = checkpointed(_edges(triples, self.predicate).join(self.kept.base, ["src", "dst"], "left_semi"))
+        withdrawn, survived = self.kept.delete(removed)
+        return self._facts(withdrawn), self._facts(removed.join(survived, ["src", "dst"], "left_semi"))
+
+
+def _edges(triples: DataFrame, predicate: str) -> DataFrame:
+    return triples.where(F.col("p") == predicate).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+
+
+@dataclass
+class Journal:
+    """A circuit's changes and states in a shared folder, from which it is resumed after a restart.
+
+    Each batch's changes are written before they are applied, under the batch's number; a state is written
+    every ``every`` batches and replaces the changes up to it. A folder counts once it is whole.
+    """
+
+    spark: SparkSession
+    path: str
+    every: int = 16
+
+    def _numbers(self, kind: str) -> list[int]:
+        """The numbers of the folders of a kind that were written whole."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = [f.getPath() for f in fs.listStatus(root)]
+        return sorted(int(p.getName()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "whole/_SUCCESS")))
+
+    def append(self, number: int, changes: DataFrame) -> DataFrame:
+        """Write a batch's changes, and give them as they were written."""
+        path = f"{self.path}/log/{number:012d}"
+        changes.select(*KEY, F.col("mult").cast("long").alias("mult")).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def checkpoint(self, circuit: Circuit, number: int) -> None:
+        path = f"{self.path}/state/{number:012d}"
+        circuit.base.write.mode("overwrite").parquet(f"{path}/base")
+        circuit.facts.write.mode("overwrite").parquet(f"{path}/facts")
+        self.spark.createDataFrame([(circuit.time,)], "time long").write.mode("overwrite").parquet(f"{path}/whole")
+
+    def resume(self, rules: list[Rule]) -> tuple[Circuit, int]:
+        """The circuit as of the last batch that was written, and that batch's number (-1: none)."""
+        states = self._numbers("state")
+        circuit, last = Circuit(self.spark, rules), -1
+        if states:
+            last = states[-1]
+            path = f"{self.path}/state/{last:012d}"
+            base, facts = self.spark.read.parquet(f"{path}/base"), self.spark.read.parquet(f"{path}/facts")
+            time = self.spark.read.parquet(f"{path}/whole").first()["time"]
+            start = facts.select(*KEY, F.lit(1).cast("long").alias("mult"), F.lit(time).cast("long").alias("time"), F.when(F.col("rule").isNull(), "asserted").otherwise("inferred").alias("kind"), "rule")
+            feed = [*[self.spark.createDataFrame([], FEED) for _ in range(time - 1)], start] if time else []
+            circuit = Circuit(self.spark, rules, time, feed, Keyed(base, "mult", base.count()), Keyed(facts, "rule", facts.count()))
+        for number in self._numbers("log"):
+            if number > last:
+                circuit.log(self.spark.read.parquet(f"{self.path}/log/{number:012d}"))
+                circuit.tick()
+                last = number
+        return circuit, last
+
+    def tidy(self) -> None:
+        """Drop the changes and states that the last state replaces."""
+        states = self._numbers("state")
+        if states:
+            fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            old = [("state", n) for n in states[:-1]] + [("log", n) for n in self._numbers("log") if n <= states[-1]]
+            for kind, n in old:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n:012d}"), True)

@@ -10,6 +10,8 @@ subjects, one for each row. Only a variable predicate unpivots columns.
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -44,11 +46,26 @@ class MappedGraph:
         self.tables = {t.name: t for t in tables}
         self._frames: dict[str, DataFrame] = {}
         self._columns: dict[str, list[str]] | None = None
+        self._counts: list[tuple[str, int]] | None = None
 
     def frame(self, name: str) -> DataFrame:
+        """A table's columns that are terms: dates are times and decimals doubles; others are named in a warning."""
         if name not in self._frames:
             df = self.read(name)
-            self._frames[name] = df.select(*[c for c, kind in df.dtypes if kind in _KINDS])
+            cols, left = [], []
+            for c, kind in df.dtypes:
+                col = F.col(f"`{c}`")
+                if kind in _KINDS:
+                    cols.append(col)
+                elif kind == "date":
+                    cols.append(col.cast("timestamp").alias(c))
+                elif kind.startswith("decimal"):
+                    cols.append(col.cast("double").alias(c))
+                else:
+                    left.append(f"{c} {kind}")
+            if left:
+                warnings.warn(f"table {name}: no terms for {', '.join(left)}", stacklevel=2)
+            self._frames[name] = df.select(*cols)
         return self._frames[name]
 
     def columns(self) -> dict[str, list[str]]:
@@ -116,32 +133,62 @@ class MappedGraph:
             df = df.where(reduce(lambda a, b: a & b, conditions))
         return Relation.of(df, vals) if vals else Relation(df.limit(1).select(F.lit(1).alias("~unit")), {})
 
-    def triples(self) -> Relation:
-        """All triples, as stored terms under ``s, p, o``: the way of a variable predicate."""
-        parts = []
-        for table in self.tables.values():
-            df, subject = self.frame(table.name), V.stored(self._subject(table))
-            cells = [F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(f"<{self.base}{table.name}>").alias("o"))]
-            for c in df.columns:
-                name = c if len(self.columns()[c]) == 1 else f"{table.name}.{c}"
-                cells.append(F.struct(F.lit(f"<{self.base}{name}>").alias("p"), V.stored(self._column(table, c)).alias("o")))
-            parts.append(df.select(subject.alias("s"), F.inline(F.array(*cells))).where("o is not null"))
-        df = reduce(DataFrame.unionByName, parts)
+    def _cells(self, table: Table, df: DataFrame) -> DataFrame:
+        """The triples of rows of a table, as stored terms under ``s, p, o``."""
+        cells = [F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(f"<{self.base}{table.name}>").alias("o"))]
+        for c in self.frame(table.name).columns:
+            name = c if len(self.columns()[c]) == 1 else f"{table.name}.{c}"
+            cells.append(F.struct(F.lit(f"<{self.base}{name}>").alias("p"), V.stored(self._column(table, c)).alias("o")))
+        return df.select(V.stored(self._subject(table)).alias("s"), F.inline(F.array(*cells))).where("o is not null")
+
+    def _relation(self, parts: list[DataFrame]) -> Relation:
+        df = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")
         return Relation(df, {n: Val("term", F.col(n)) for n in "spo"})
 
+    def triples(self, subject: object = None, tables: list[Table] | None = None) -> Relation:
+        """All triples, of a ground subject or of some tables if given: the way of a variable predicate.
+
+        A ground subject is a row of one table, found by its key in the scan.
+        """
+        if not isinstance(subject, Term):
+            return self._relation([self._cells(t, self.frame(t.name)) for t in (self.tables.values() if tables is None else tables)])
+        own = [t for t in self.tables.values() if t.key and subject.value.startswith(f"{self.base}{t.name}/")]
+        return self._relation([self._cells(t, self.frame(t.name).where(equal(self._subject(t), V.constant(subject)))) for t in own])
+
+    def triples_of(self, resources: DataFrame) -> Relation:
+        """The triples whose subject is in column ``s``: only tables that have one are read, and by key."""
+        kind = F.regexp_extract("s", f"^<{re.escape(self.base)}([^/]+)/[^/]*>$", 1)
+        rows = resources.select("s", F.when(F.col("s").startswith("_:"), "_:").otherwise(kind).alias("kind")).where("kind <> ''")
+        found = {r["kind"] for r in rows.select("kind").distinct().collect()}  # as many as there are tables
+        parts = []
+        for t in self.tables.values():
+            if t.key and t.name in found:
+                key = F.regexp_extract("s", "/([^/]*)>$", 1).try_cast("long")
+                keys = rows.where(F.col("kind") == t.name).select(key.alias("~key")).distinct()
+                parts.append(self._cells(t, self.frame(t.name).join(keys, F.col(f"`{t.key}`").cast("long") == F.col("~key"), "left_semi")))
+            elif not t.key and "_:" in found:
+                parts.append(self._cells(t, self.frame(t.name)).join(resources.select("s").distinct(), "s", "left_semi"))
+        return self._relation(parts)
+
     def predicate_counts(self, scope: tuple) -> DataFrame:
-        """``p, n``: the triples of each predicate, from counts of values that leave nothing to unpivot but a row a table."""
+        """``p, n``: the triples of each predicate, from counts of values that leave nothing to unpivot but a row a table.
+
+        They are counted once and kept, a row for each predicate: a mapping's tables don't change while it lasts.
+        """
         if scope[0] != "default":
             raise Refused("mapped tables are the default graph")
-        parts = []
-        for table in self.tables.values():
-            df = self.frame(table.name)
-            names = [c if len(self.columns()[c]) == 1 else f"{table.name}.{c}" for c in df.columns]
-            counts = df.agg(F.count(F.lit(1)).alias("~rows"), *[F.count(f"`{c}`").alias(c) for c in df.columns])
-            cells = [F.struct(F.lit(RDF_TYPE).alias("p"), F.col("~rows").alias("n"))]
-            cells += [F.struct(F.lit(f"<{self.base}{n}>").alias("p"), F.col(f"`{c}`").alias("n")) for n, c in zip(names, df.columns, strict=True)]
-            parts.append(counts.select(F.inline(F.array(*cells))))
-        return reduce(DataFrame.unionByName, parts).groupBy("p").agg(F.sum("n").alias("n")).where("n > 0")
+        if self._counts is None:
+            parts = []
+            for table in self.tables.values():
+                df = self.frame(table.name)
+                names = [c if len(self.columns()[c]) == 1 else f"{table.name}.{c}" for c in df.columns]
+                counts = df.agg(F.count(F.lit(1)).alias("~rows"), *[F.count(f"`{c}`").alias(c) for c in df.columns])
+                cells = [F.struct(F.lit(RDF_TYPE).alias("p"), F.col("~rows").alias("n"))]
+                cells += [F.struct(F.lit(f"<{self.base}{n}>").alias("p"), F.col(f"`{c}`").alias("n")) for n, c in zip(names, df.columns, strict=True)]
+                parts.append(counts.select(F.inline(F.array(*cells))))
+            total = reduce(DataFrame.unionByName, parts).groupBy("p").agg(F.sum("n").alias("n")).where("n > 0")
+            self._counts = [(r["p"], r["n"]) for r in total.collect()]
+        return self.spark.createDataFrame(self._counts, "p string, n long")
 
     def graphs(self) -> DataFrame | None:
         return None
@@ -153,7 +200,8 @@ class MappedGraph:
         parts: list[Relation] = []
         for t in patterns:
             if isinstance(t[1], Var):
-                parts.append(match(self.triples(), t))
+                same = [x for x in patterns if x[0] == t[0] and not isinstance(x[1], Var)]
+                parts.append(match(self.triples(t[0], self._table_of(same) if same and isinstance(t[0], Var) else None), t))
             else:
                 stars.setdefault(t[0], []).append(t)
         for star in stars.values():

@@ -7,33 +7,71 @@ checkpointed, so that plans stay short and lost executors re-read files.
 from __future__ import annotations
 
 import tempfile
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds after which a fixpoint is taken to be wrong.
 GUARD = 4096
+#: Rows of new pairs, counted in each round, up to which they are broadcast.
+FEW = 50_000
+#: Parts that are kept apart before they are written as one.
+PARTS = 8
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, with their lineage cut, in the cluster's checkpoint folder (a temporary one only where none is set)."""
+    """The rows, with their lineage cut, in the cluster's checkpoint folder.
+
+    A temporary folder is made only where none is set and the driver runs all tasks; on a
+    cluster it would lose data, so that is refused.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
-    return df.checkpoint()
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster checkpoints need a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-ckpt-"))
+    # what the optimiser infers of constant columns is not kept with the rows: a union of such rows
+    # with others, one side of an anti-join, can't be planned (the optimiser looks up a column that is gone)
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
+
+
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint where the counted rows allow it."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass
 class Metrics:
-    """Rounds and the number of pairs after each."""
+    """Rounds, the number of pairs after each, and seconds."""
 
     sizes: list[int] = field(default_factory=list)
+    seconds: float = 0.0
+    nodes: int = 0
 
     @property
     def rounds(self) -> int:
         return len(self.sizes)
 
+    @property
+    def density(self) -> float:
+        """The share of all pairs of nodes that the closure has."""
+        return self.sizes[-1] / self.nodes**2 if self.sizes and self.nodes else 0.0
+
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.col(a).alias("src"), F.col(b).alias("dst"))
@@ -48,60 +86,96 @@ def without(new: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(known, ["src", "dst"], "left_anti")
 
 
-def transitive(edges: DataFrame, sources: DataFrame | None = None, reflexive: bool = False, metrics: Metrics | None = None) -> DataFrame:
+def transitive(edges: DataFrame, sources: DataFrame | None = None, reflexive: bool = False, metrics: Metrics | None = None, target: Column | None = None) -> DataFrame:
     """``src, dst`` of every path of one edge or more.
 
     Without ``sources`` what is new is composed with all that is known, which
     doubles the length of paths in a round. With them (column ``src``), only
-    what they reach is computed, an edge a round. ``reflexive`` adds each node of
-    the edges, and each source, with itself.
+    what they reach is computed, an edge a round, and with a ``target`` only until it is
+    reached. ``reflexive`` adds each node of the edges, and each source, with itself.
+
+    A round writes what is new and nothing else; parts are put together now and then.
     """
-    edges = checkpointed(_pairs(edges, "src", "dst").where("src is not null and dst is not null").distinct())
-    known = edges if sources is None else checkpointed(edges.join(sources.select("src").distinct(), "src", "left_semi"))
-    new = known
-    for _ in range(GUARD):
+    began = time.monotonic()
+    edges = _pairs(edges, "src", "dst").where("src is not null and dst is not null")
+    if sources is None:
+        edges = new = checkpointed(edges.distinct())
+    else:
+        new = checkpointed(edges.join(sources.select("src").distinct(), "src", "left_semi").distinct())
+    parts, n = [new], new.count()
+    total = n
+    for rounds in range(GUARD):
         if metrics is not None:
-            metrics.sizes.append(known.count())
-        step = compose(new, known if sources is None else edges).distinct()
-        new = checkpointed(without(step, known))
-        if new.isEmpty():
+            metrics.sizes.append(total)
+        if not n or target is not None and not new.where(F.col("dst") == target).isEmpty():
             break
-        known = checkpointed(known.unionByName(new))
+        if rounds == 2 and sources is not None:
+            edges = checkpointed(edges.distinct())  # a long way: what made the edges is not done again each round
+        known = together(parts)
+        step = compose(light(new, n), known if sources is None else edges).distinct()
+        new = checkpointed(without(step, known))
+        n = new.count()
+        total += n
+        if n:
+            parts.append(new)
+        if len(parts) > PARTS:
+            parts = [checkpointed(together(parts))]
     else:
         raise RuntimeError("the closure did not settle")
+    known = together(parts)
+    if metrics is not None:
+        metrics.seconds += time.monotonic() - began
+        metrics.nodes = edges.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
     if reflexive:
         nodes = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))) if sources is None else sources.select("src")
         known = known.unionByName(nodes.select("src", F.col("src").alias("dst"))).distinct()
     return known
 
 
-def best_confidence(edges: DataFrame, metrics: Metrics | None = None) -> DataFrame:
-    """``src, dst, confidence``: the best product of confidences along a path, of one edge or more.
+def valued(edges: DataFrame, times: Callable[[Column, Column], Column], plus: Callable[[Column], Column], better: Callable[[Column, Column], Column], sources: DataFrame | None = None, metrics: Metrics | None = None) -> DataFrame:
+    """``src, dst, value`` over a semiring of the caller's: ``times`` along a path of one edge or more, ``plus`` (an aggregate) over paths.
 
-    Confidences lie in (0, 1], so cycles don't improve a path and the rounds end. Equal edges keep the best.
+    ``better`` tells whether a value improves on another; values that cycles improve without end
+    are caught by the guard on rounds.
     """
-    bad = edges.where(~((F.col("confidence") > 0) & (F.col("confidence") <= 1)) | F.col("confidence").isNull())
-    if not bad.isEmpty():
-        raise ValueError("a confidence outside (0, 1]")
-    base = checkpointed(edges.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")))
-    best, new = base, base
-    onward = base.select(F.col("src").alias("mid"), "dst", F.col("confidence").alias("more"))
+    began = time.monotonic()
+    base = checkpointed(edges.groupBy("src", "dst").agg(plus(F.col("value")).alias("value")))
+    best = base if sources is None else checkpointed(base.join(sources.select("src").distinct(), "src", "left_semi"))
+    new, n = best, best.count()
+    onward = base.select(F.col("src").alias("mid"), "dst", F.col("value").alias("~more"))
     for _ in range(GUARD):
         if metrics is not None:
             metrics.sizes.append(best.count())
-        step = new.select("src", F.col("dst").alias("mid"), "confidence").join(onward, "mid")
-        step = step.groupBy("src", "dst").agg(F.max(F.col("confidence") * F.col("more")).alias("found"))
-        new = step.join(best, ["src", "dst"], "left").where("confidence is null or found > confidence").select("src", "dst", F.col("found").alias("confidence"))
-        new = checkpointed(new)
-        if new.isEmpty():
+        if not n:
+            if metrics is not None:
+                metrics.seconds += time.monotonic() - began
             return best
-        best = checkpointed(best.unionByName(new).groupBy("src", "dst").agg(F.max("confidence").alias("confidence")))
+        step = light(new, n).select("src", F.col("dst").alias("mid"), "value").join(onward, "mid")
+        step = step.groupBy("src", "dst").agg(plus(times(F.col("value"), F.col("~more"))).alias("~found"))
+        gain = step.join(best, ["src", "dst"], "left").where(F.col("value").isNull() | better(F.col("~found"), F.col("value")))
+        new = checkpointed(gain.select("src", "dst", F.col("~found").alias("value")))
+        n = new.count()
+        if n:
+            best = checkpointed(best.unionByName(new).groupBy("src", "dst").agg(plus(F.col("value")).alias("value")))
     raise RuntimeError("the closure did not settle")
 
 
+def best_confidence(edges: DataFrame, metrics: Metrics | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """``src, dst, confidence``: the best product of confidences along a path, of one edge or more.
+
+    Confidences lie in (0, 1], so cycles don't improve a path and the rounds end. Equal edges keep the best.
+    """
+    bad = edges.where(~((F.col("confidence") > 0) & (F.col("confidence") <= 1)) | F.col("confidence").isNull())
+    if not bad.isEmpty():
+        raise ValueError("a confidence outside (0, 1]")
+    rows = edges.select("src", "dst", F.col("confidence").alias("value"))
+    return valued(rows, lambda a, b: a * b, F.max, lambda a, b: a > b, sources, metrics).withColumnRenamed("value", "confidence")
+
+
 def crosswalk(edges: DataFrame, src: object, dst: object) -> float | None:
-    """The best confidence between two nodes."""
-    found = best_confidence(edges).where((F.col("src") == src) & (F.col("dst") == dst)).select("confidence").first()
+    """The best confidence between two nodes, from what the first reaches."""
+    start = edges.sparkSession.range(1).select(F.lit(src).alias("src"))
+    found = best_confidence(edges, sources=start).where(F.col("dst") == F.lit(dst)).select("confidence").first()
     return found[0] if found else None
 
 
@@ -148,8 +222,7 @@ def delete_edges(base: DataFrame, closed: DataFrame, removed: DataFrame) -> tupl
     """
     left = without(base.distinct(), removed)
     gone = _pairs(removed, "src", "dst").distinct()
-    ends = gone.unionByName(compose(closed, gone)).unionByName(compose(gone, closed)).unionByName(compose(compose(closed, gone), closed)).distinct()
-    suspect = checkpointed(closed.join(ends, ["src", "dst"], "left_semi"))
+    suspect = checkpointed(suspects(closed, gone))
     sure = checkpointed(without(closed, suspect))
     # derive again, from what is sure and the base that is left, the suspects that still hold
     found = checkpointed(left.join(suspect, ["src", "dst"], "left_semi"))
@@ -164,5 +237,64 @@ def delete_edges(base: DataFrame, closed: DataFrame, removed: DataFrame) -> tupl
     raise RuntimeError("the closure did not settle")
 
 
+@dataclass
+class Kept:
+    """A closure kept under changes of its edges.
+
+    Seeded with the edges (``of_base``), what is withdrawn is exact. Seeded with pairs that
+    are closed already (``of_closed``), these count as edges of their own: sound, but a pair whose
+    support goes stays if it was seeded. A change whose ``sink`` raises leaves all as it was.
+    """
+
+    base: DataFrame
+    closed: DataFrame
+
+    @staticmethod
+    def of_base(edges: DataFrame) -> Kept:
+        base = checkpointed(_pairs(edges, "src", "dst").distinct())
+        return Kept(base, transitive(base))
+
+    @staticmethod
+    def of_closed(pairs: DataFrame) -> Kept:
+        closed = checkpointed(_pairs(pairs, "src", "dst").distinct())
+        return Kept(closed, closed)
+
+    def insert(self, added: DataFrame, sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """The pairs that are new."""
+        added = _pairs(added, "src", "dst")
+        closed, new = insert_edges(self.base, self.closed, added)
+        base = checkpointed(self.base.unionByName(added).distinct())
+        if sink is not None:
+            sink(new)
+        self.base, self.closed = base, checkpointed(closed)
+        return new
+
+    def delete(self, removed: DataFrame, how: str = "support", sink: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs withdrawn, and those that a removed edge supported and that stay.
+
+        ``support`` looks for other support of what is suspect; ``recompute`` closes what is
+        left again, from the sources of what is suspect. Both give the same.
+        """
+        removed = _pairs(removed, "src", "dst").distinct()
+        suspect = checkpointed(suspects(self.closed, removed))
+        base = checkpointed(without(self.base, removed))
+        if how == "recompute":
+            again = transitive(base, suspect.select("src").distinct())
+            left = checkpointed(without(self.closed, suspect).unionByName(suspect.join(again, ["src", "dst"], "left_semi")))
+        else:
+            left = checkpointed(delete_edges(self.base, self.closed, removed)[0])
+        withdrawn, survived = without(suspect, left), suspect.join(left, ["src", "dst"], "left_semi")
+        if sink is not None:
+            sink(withdrawn)
+        self.base, self.closed = base, left
+        return withdrawn, survived
+
+
+def suspects(closed: DataFrame, removed: DataFrame) -> DataFrame:
+    """The pairs that some path through a removed edge supports."""
+    ends = removed.unionByName(compose(closed, removed)).unionByName(compose(removed, closed)).unionByName(compose(compose(closed, removed), closed)).distinct()
+    return closed.join(ends, ["src", "dst"], "left_semi")
+
+
 def empty_pairs(spark: SparkSession, kind: str = "string") -> DataFrame:
     return spark.createDataFrame([], f"src {kind}, dst {kind}")

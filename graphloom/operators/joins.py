@@ -105,17 +105,50 @@ def _joined(left: Relation, right: Relation, on: set[str]) -> Relation:
 
 
 def left_join(left: Relation, right: Relation, condition=None) -> Relation:  # noqa: ANN001
-    """OPTIONAL: the condition, a function of the merged values, is part of the match."""
+    """OPTIONAL: the condition, a function of the merged values, is part of the match.
+
+    If no shared variable is bound on both sides, left rows are split by whether the first that
+    may be unbound there is bound, so that those where it is are an equi-join.
+    """
+    shared = [n for n in left.vals if n in right.vals]
+    if any(left.vals[n].bound and right.vals[n].bound for n in shared):
+        return _left_joined(left, right, condition, set(shared))
+    return _left_split(left, right, condition, [n for n in shared if not left.vals[n].bound and right.vals[n].bound], set(shared))
+
+
+def _left_split(left: Relation, right: Relation, condition, names: list[str], on: set[str]) -> Relation:  # noqa: ANN001
+    if not names:
+        return _left_joined(left, right, condition, on)
+    name = names[0]
+    known = _left_joined(_split(left, name, True), right, condition, on)
+    return union(known, _left_split(_split(left, name, False), right, condition, names[1:], on - {name}))
+
+
+def _left_joined(left: Relation, right: Relation, condition, names: set[str]) -> Relation:  # noqa: ANN001
     a, x = _side(left, "l~")
     b, y = _side(right, "r~")
     b = b.withColumn("r~match", F.lit(True))
-    on = [_agree(x[n], y[n]) for n in x if n in y]
+    on = [_agree(x[n], y[n]) for n in x if n in y and n in names]
     if condition is not None:
         on.append(condition(merge(x, y, outer=False)))
     df = a.join(b, reduce(lambda p, q: p & q, on, F.lit(True)), "left")
     return Relation.of(df, merge(x, y, outer=True))
 
 
+#: Keys of the smaller side up to which a join looks them up in the other side's scan.
+LOOKUP = 256
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """An inner join that reads only the right rows whose key the left has, if its keys are few.
+
+    The left's distinct keys, ``LOOKUP`` of them at most, become a filter that reaches the right's scan;
+    if there are more, it is a plain join, and Catalyst chooses how.
+    """
+    keys = [r[0] for r in left.select(on).where(F.col(on).isNotNull()).distinct().limit(LOOKUP + 1).collect()]
+    return left.join(right.where(F.col(on).isin(keys)) if len(keys) <= LOOKUP else right, on)
+
+
 def union(left: Relation, right: Relation) -> Relation:
     """Rows of both; a variable of one side only is unbound in the other's rows."""
     names = list(dict.fromkeys([*left.vals, *right.vals]))

@@ -192,7 +192,7 @@ class Compiler:
         star = path.how == "*"
         if isinstance(s, Term):
             start = self.spark.range(1).select(self.ground(s, x).alias("src"))
-            found = closure.transitive(edges, start, star)
+            found = closure.transitive(edges, start, star, target=self.ground(o, y) if isinstance(o, Term) else None)
         elif isinstance(o, Term):
             start = self.spark.range(1).select(self.ground(o, x).alias("src"))
             back = closure.transitive(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, star)
@@ -233,12 +233,20 @@ def _carried(node: object, name: str) -> None:
             _carried(getattr(node, child), name)
 
 
-def describe(source: object, resources: DataFrame) -> DataFrame:
-    """``s, p, o`` of the triples whose subject is one of ``resources(s)``, distinct and in order."""
-    s, p, o = Var("s"), Var("p"), Var("o")
-    r = source.bgp([(s, p, o)], DEFAULT)
-    rows = r.df.select(*[V.stored(r.vals[n]).alias(n) for n in "spo"])
-    return rows.join(resources.distinct(), "s", "left_semi").distinct().orderBy("s", "p", "o")
+def describe(source: object, targets: list[Term], resources: DataFrame | None) -> DataFrame:
+    """``s, p, o`` of the triples whose subject is a target or one of ``resources(s)``, distinct and in order."""
+    p, o = Var("p"), Var("o")
+    parts = []
+    for t in targets:
+        r = source.bgp([(t, p, o)], DEFAULT)
+        parts.append(r.df.select(F.lit(t.stored).alias("s"), *[V.stored(r.vals[n]).alias(n) for n in "po"]))
+    if resources is not None:
+        r = source.triples_of(resources.distinct())
+        parts.append(r.df.select(*[V.stored(r.vals[n]).alias(n) for n in "spo"]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct().orderBy("s", "p", "o")
 
 
 def construct(r: Relation, template: list[tuple]) -> DataFrame:

@@ -79,6 +79,24 @@ def literal_facts(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return same, bad
 
 
+def literal_differences(triples: DataFrame) -> DataFrame:
+    """``dt-diff`` where it can matter, ``s, p, o, rule``: literals of one kind but other values that something makes the same.
+
+    All pairs of literals of a corpus would be its square. What can make two literals the same is
+    ``owl:sameAs`` itself and the values of a functional property, so only these are compared, each value with
+    the least of its group; ``eq-diff1`` then puts it into ``owl:Nothing``.
+    """
+    functional = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == f"<{OWL}FunctionalProperty>")).select(F.col("s").alias("p")).distinct()
+    values = triples.where(T.is_literal(F.col("o"))).join(functional, "p", "left_semi").select("s", "p", F.col("o").alias("t"))
+    least = values.groupBy("s", "p").agg(F.min("t").alias("m"), F.count_distinct("t").alias("n")).where("n > 1")
+    pairs = values.join(least, ["s", "p"]).select("m", "t")
+    same = triples.where((F.col("p") == f"<{OWL}sameAs>") & T.is_literal(F.col("s")) & T.is_literal(F.col("o"))).select(F.col("s").alias("m"), F.col("o").alias("t"))
+    pairs = pairs.unionByName(same).where("m <> t").distinct().select("m", "t", value_class(F.col("m")).alias("a"), value_class(F.col("t")).alias("b"))
+    pairs = pairs.where("substring(a, 1, 1) = substring(b, 1, 1) and a <> b")
+    differ = pairs.select(F.col("m").alias("s"), F.lit(f"<{OWL}differentFrom>").alias("p"), F.col("t").alias("o"), F.lit("dt-diff").alias("rule"))
+    return differ.unionByName(pairs.select(F.col("m").alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(NOTHING).alias("o"), F.lit("eq-diff1").alias("rule")).distinct())
+
+
 def membership_faults(triples: DataFrame) -> DataFrame:
     """``owl:Nothing`` for literals that a range puts into a datatype which can't hold them."""
     ranges = triples.where(F.col("p") == f"<{RDFS}range>").where(F.col("o").startswith(f"<{XSD}")).select(F.col("s").alias("rp"), F.expr("substring(o, 2, length(o) - 2)").alias("kind"))
@@ -103,4 +121,4 @@ def narrowed_ranges(ranges: dict[str, list[str]]) -> list[tuple[str, str]]:
     return out
 
 
-__all__ = ["INTEGERS", "RDF", "axioms", "ill_typed", "literal_facts", "membership_faults", "narrowed_ranges", "value_class"]
+__all__ = ["INTEGERS", "RDF", "axioms", "ill_typed", "literal_differences", "literal_facts", "membership_faults", "narrowed_ranges", "value_class"]

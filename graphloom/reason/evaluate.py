@@ -58,3 +58,35 @@ def delta_steps(rule: Rule, known: DataFrame, new: DataFrame, dirty: set[str] |
         if dirty is None or p is None or p in dirty:
             out.append(step(rule, [new if k == i else known for k in range(len(rule.body))]))
     return out
+
+
+def derived_again(rule: Rule, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of the wanted facts that a rule gives from what is known: the head is bound to them before the body is joined."""
+    if len({s.name for s in rule.head if isinstance(s, Var)} & {s.name for p in rule.body for s in p if isinstance(s, Var)}) == 0:
+        return step(rule, [known] * len(rule.body)).join(wanted, ["s", "p", "o"], "left_semi")
+    asked = Rule(rule.name, (rule.head, *rule.body), rule.head)
+    return step(asked, [wanted, *[known] * len(rule.body)]).select("s", "p", "o", "rule", F.expr("slice(premises, 2, size(premises) - 1)").alias("premises"))
+
+
+#: Rules whose self-join would list all pairs of a group: the subject that they group by and the member that they make the same.
+STARS = {"prp-fp": ("s", "o", "FunctionalProperty"), "prp-ifp": ("o", "s", "InverseFunctionalProperty")}
+
+
+def star_step(rule: str, known: DataFrame, new: DataFrame, typed: str, kind: str) -> DataFrame:
+    """What a functional property makes the same, in the groups that something new is in.
+
+    Each member hangs on the least of its group, itself included; the closure of
+    ``owl:sameAs`` makes the rest. A hot value of k members gives k rows and not k * k.
+    """
+    by, member, _ = STARS[rule]
+    props = known.where((F.col("p") == typed) & (F.col("o") == kind)).select(F.col("s").alias("p")).distinct()
+    fresh = new.where((F.col("p") == typed) & (F.col("o") == kind)).select(F.col("s").alias("p")).distinct()
+    rows = known.join(props, "p", "left_semi").select("s", "p", "o")
+    touched = new.join(props, "p", "left_semi").select("p", by).unionByName(rows.join(fresh, "p", "left_semi").select("p", by)).distinct()
+    rows = rows.join(touched, ["p", by], "left_semi")
+    least = rows.groupBy("p", by).agg(F.min(member).alias("~least"))
+    rows = rows.join(least, ["p", by])
+    first = F.struct(*[(F.col("~least") if c == member else F.col(c)).alias(c) for c in "spo"])
+    premises = F.array(F.struct(F.col("p").alias("s"), F.lit(typed).alias("p"), F.lit(kind).alias("o")), first, F.struct("s", "p", "o"))
+    out = rows.select(F.col("~least").alias("~s"), F.col(member).alias("~o"), premises.alias("premises"))
+    return out.select(F.col("~s").alias("s"), F.lit("<http://www.w3.org/2002/07/owl#sameAs>").alias("p"), F.col("~o").alias("o"), F.lit(rule).alias("rule"), "premises").where(~F.col("s").startswith('"'))

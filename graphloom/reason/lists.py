@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.closure import checkpointed
+from ..operators.closure import checkpointed, together
 from ..terms import OWL, RDF, RDF_TYPE, RDFS
 
 NIL, FIRST, REST = f"<{RDF}nil>", f"<{RDF}first>", f"<{RDF}rest>"
@@ -24,29 +24,31 @@ def typed(triples: DataFrame, a: str = "x", b: str = "c") -> DataFrame:
     return triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias(a), F.col("o").alias(b))
 
 
-def collections(triples: DataFrame, longest: int = 100_000) -> DataFrame:
+def collections(triples: DataFrame) -> DataFrame:
     """``axiom, how, n, position, item`` of each list that an axiom has; lists with a gap or a cycle are left out.
 
-    Lists are walked all together, a cell a round.
+    All lists are walked together, by doubling: what is known of their first cells and jumps
+    of that length give as many cells more, so the longest list takes the logarithm of its length in rounds.
     """
-    heads = triples.where(F.col("p").isin(LISTED)).select(F.col("s").alias("axiom"), F.col("p").alias("how"), F.col("o").alias("head"))
+    heads = triples.where(F.col("p").isin(LISTED)).select(F.col("s").alias("axiom"), F.col("p").alias("how"), F.col("o").alias("head")).distinct()
     first, rest = predicate(triples, FIRST, "cell", "item"), predicate(triples, REST, "cell", "next")
-    at = checkpointed(heads.select("axiom", "how", "head", F.col("head").alias("cell"), F.lit(0).alias("position")))
+    jump = checkpointed(rest.where(F.col("next") != NIL).distinct())
+    walk = checkpointed(heads.where(F.col("head") != NIL).select("axiom", "how", "head", F.col("head").alias("cell"), F.lit(0).cast("long").alias("position")))
+    parts, size, most = [walk], 1, jump.count() + 1
     # a list is at most as long as there are cells; one that is longer has a cycle
-    most = min(longest, triples.where(F.col("p") == REST).select("s").distinct().count())
-    parts, ends = [], []
-    for _ in range(most + 1):
-        ends.append(at.where(F.col("cell") == NIL).select("axiom", "how", "head", F.col("position").alias("n")))
-        at = checkpointed(at.where(F.col("cell") != NIL).join(first, "cell").join(rest, "cell").select("axiom", "how", "head", "position", "item", "next"))
-        if at.isEmpty():
+    while size <= most:
+        ahead = together(parts).join(jump, "cell").select("axiom", "how", "head", F.col("next").alias("cell"), (F.col("position") + size).alias("position"))
+        found = checkpointed(ahead)
+        if found.isEmpty():
             break
-        parts.append(at.select("axiom", "how", "head", "position", "item"))
-        at = at.select("axiom", "how", "head", F.col("next").alias("cell"), (F.col("position") + 1).alias("position"))
-    whole = reduce(DataFrame.unionByName, ends)
-    if not parts:
-        return whole.where("false").select("axiom", "how", "n", F.lit(0).alias("position"), F.lit("").alias("item"))
-    items = reduce(DataFrame.unionByName, parts)
-    return items.join(whole, ["axiom", "how", "head"]).select("axiom", "how", "n", "position", "item")
+        parts.append(found)
+        jump = checkpointed(jump.join(jump.select(F.col("cell").alias("next"), F.col("next").alias("far")), "next").select("cell", F.col("far").alias("next")))
+        size *= 2
+    cells = together(parts).join(first, "cell")
+    last = cells.join(rest.where(F.col("next") == NIL), "cell").groupBy("axiom", "how", "head").agg((F.max("position") + 1).cast("int").alias("n"))
+    ends = cells.groupBy("axiom", "how", "head").agg(F.count_distinct("position").alias("seen"))
+    whole = last.join(ends, ["axiom", "how", "head"]).where("seen = n").drop("seen")
+    return cells.join(whole, ["axiom", "how", "head"]).select("axiom", "how", "n", F.col("position").cast("int").alias("position"), "item")
 
 
 def _of(lists: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ SSSOM = "https://w3id.org/sssom/"
 
 def infer(mappings: DataFrame) -> Materialised:
     """What follows from mappings by generalising, inverting, chaining, transitivity and negation. Identity is not touched."""
-    return fixpoint(mappings, mapping_rules(), {k: v for k, v in CLOSED.items() if k.startswith("sssom")})
+    return fixpoint(mappings, mapping_rules(), {k: v for k, v in CLOSED.items() if k.startswith("sssom")}, pairs=False)
 
 
 def justification(rule: Column) -> Column:

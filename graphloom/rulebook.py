@@ -160,17 +160,17 @@ for _name, _item in (("eq-diff2", "members"), ("eq-diff3", "distinctMembers")):
         [over(SAME)], found(NN, owl("differentFrom"), N.format("b.k"), "nation, (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3) b", "n_nationkey < 3 AND n_nationkey <> b.k"),
         [("<urn:x:D>", RDF_TYPE, owl("AllDifferent")), ("<urn:x:D>", owl(_item), "_:m0"), *listed("m", [f"<urn:tpch:nation/{k}>" for k in range(3)])], owl("differentFrom"), True,
     )
-_TWO = [up(IN, _RICH), ("customer", _RICH, C, quoted(IN), "concat('<urn:x:n', c_nationkey, '>')"), in_class(_RICH, "R")]
+_TWO = [up(IN), ("customer", "true", C, quoted(IN), "concat('<urn:x:n', c_nationkey, '>')"), in_class("true", "R")]
 _ALIAS = "concat('<urn:x:n', c_nationkey, '>')"
-_MERGED = " UNION ALL ".join(found(a, SAME, b, where=_RICH) for a in (CN, _ALIAS) for b in (CN, _ALIAS))
-_TYPED = [("customer", _RICH, CN, quoted(RDF_TYPE), "'<urn:x:Nation>'"), ("customer", _RICH, _ALIAS, quoted(RDF_TYPE), "'<urn:x:Nation>'")]
+_MERGED = " UNION ALL ".join(found(a, SAME, b) for a in (CN, _ALIAS) for b in (CN, _ALIAS))
+_TYPED = [("customer", "true", CN, quoted(RDF_TYPE), "'<urn:x:Nation>'"), ("customer", "true", _ALIAS, quoted(RDF_TYPE), "'<urn:x:Nation>'")]
 
 
 def _limit(kind: str, n: int, on: str | None = None) -> list[Triple]:
     return [("<urn:x:R>", owl(kind), number(n)), ("<urn:x:R>", owl("onProperty"), IN)] + ([("<urn:x:R>", owl("onClass"), on)] if on else [])
 
 
-_FAULTY = found(C, RDF_TYPE, quoted(NOTHING), where=_RICH)
+_FAULTY = found(C, RDF_TYPE, quoted(NOTHING))
 CASES["cls-maxc1"] = Case(_TWO, _FAULTY, _limit("maxCardinality", 0), RDF_TYPE, True)
 CASES["cls-maxc2"] = Case(_TWO, _MERGED, _limit("maxCardinality", 1), SAME, True)
 CASES["cls-maxqc1"] = Case(_TWO + _TYPED, _FAULTY, _limit("maxQualifiedCardinality", 0, "<urn:x:Nation>"), RDF_TYPE, True)

@@ -7,6 +7,7 @@ import threading
 import time
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -74,30 +75,62 @@ class Service:
 
     def query(self, text: str, accept: str = "", strict: bool | None = None) -> tuple[str, str]:
         """Media type and body."""
+        kind, parts = self.stream(text, accept, strict)
+        return kind, "".join(parts)
+
+    def stream(self, text: str, accept: str = "", strict: bool | None = None) -> tuple[str, Iterator[str]]:
+        """Media type and pieces of the body, which is never held whole; rows are fetched as pieces are taken.
+
+        The version that the query began with is pinned until its last piece.
+        """
         strict = self.config.server.default_graph == "strict" if strict is None else strict
         group, limit = uuid.uuid4().hex, self.config.limits.query_timeout_s
-        timer = threading.Timer(limit, lambda: self.spark.sparkContext.cancelJobsWithTag(group)) if limit else None
-        self.spark.sparkContext.addJobTag(group)
+        context = self.spark.sparkContext
+        version = self.store.pin()
+        timer = threading.Timer(limit, lambda: context.cancelJobsWithTag(group)) if limit else None
+        context.addJobTag(group)
+
+        def done() -> None:
+            context.removeJobTag(group)
+            self.store.release(version)
+            if timer:
+                timer.cancel()
+
         if timer:
             timer.start()
         try:
-            return self._answer(Engine(self.spark, self.store.quads, strict).query(text), accept)
-        finally:
-            self.spark.sparkContext.removeJobTag(group)
-            if timer:
-                timer.cancel()
+            kind, parts = self._answer(Engine(self.spark, self.store.at(version), strict).query(text, terms=True), accept)
+            first = next(parts, "")  # faults of the plan or its first rows come before anything is sent
+        except BaseException:
+            done()
+            raise
 
-    def _answer(self, out: DataFrame | bool | str, accept: str) -> tuple[str, str]:
+        def run() -> Iterator[str]:
+            try:
+                yield first
+                yield from parts
+            finally:
+                done()
+
+        return kind, run()
+
+    def _answer(self, out: DataFrame | bool | str, accept: str) -> tuple[str, Iterator[str]]:
         kind, form = negotiate(accept)
         if isinstance(out, str):
-            return "text/plain", out
+            return "text/plain", iter([out])
         if isinstance(out, bool):
-            return (kind, results.ask_json(out)) if form == "json" else (next(iter(TYPES)), results.ask_xml(out))
+            return (kind, iter([results.ask_json(out)])) if form == "json" else (next(iter(TYPES)), iter([results.ask_xml(out)]))
         if self.config.limits.max_result_rows:
             out = out.limit(self.config.limits.max_result_rows)
         if out.columns == ["s", "p", "o"] and form not in ("json", "csv", "tsv") and "sparql-results" not in accept:
-            return "application/n-triples", "".join(results.graph_lines(out))
-        return kind, "".join(results.FORMATS[form](out))
+            return "application/n-triples", results.graph_lines(out)
+        return kind, results.FORMATS[form](out)
+
+    def gauges(self) -> str:
+        """What the store holds, beside the counters of requests."""
+        now = self.store.segments[-1]
+        held = {"store_version": self.store.version, "store_segments": len(self.store.segments), "store_changes": now.size, "store_change_bytes": now.bytes, "store_pins": sum(self.store.pins.values())}
+        return "".join(f"graphloom_{n} {v}\n" for n, v in held.items())
 
     def update(self, text: str) -> None:
         with self.writing:
@@ -117,6 +150,15 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             self.end_headers()
             self.wfile.write(data)
 
+        def pieces(self, kind: str, parts: Iterator[str]) -> None:
+            """A body of unknown length: it ends where the connection does."""
+            self.send_response(200)
+            self.send_header("Content-Type", f"{kind}; charset=utf-8")
+            self.end_headers()
+            self.close_connection = True
+            for part in parts:
+                self.wfile.write(part.encode())
+
         def body(self) -> tuple[str, dict[str, list[str]]]:
             data = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()
             form = self.headers.get("Content-Type", "").startswith("application/x-www-form-urlencoded")
@@ -133,8 +175,8 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
                     if graph not in (None, "union", "strict"):
                         self.reply(400, body="default_graph is union or strict")
                         return
-                    media, out = service.query(text, self.headers.get("Accept", ""), None if graph is None else graph == "strict")
-                    self.reply(200, media, out)
+                    media, parts = service.stream(text, self.headers.get("Accept", ""), None if graph is None else graph == "strict")
+                    self.pieces(media, parts)
                 else:
                     service.update(text)
                     self.reply(204)
@@ -151,7 +193,7 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             url = urlsplit(self.path)
             params = parse_qs(url.query)
             if url.path == "/metrics":
-                self.reply(200, body=service.metrics.text())
+                self.reply(200, body=service.metrics.text() + service.gauges())
             elif url.path == "/query":
                 self.serve("/query", params.get("query", [None])[0], params)
             else:

@@ -17,20 +17,27 @@ from ..terms import ntriples_column
 _ARROW = pa.schema([("g", pa.string()), ("s", pa.string()), ("p", pa.string()), ("o", pa.string())])
 
 
-def read_lines(spark: SparkSession, path: str, named: bool) -> DataFrame:
-    """N-Triples or N-Quads: split by lines, parsed where they lie. ``named`` keeps a fourth term."""
+def read_lines(spark: SparkSession, path: str | list[str], named: bool) -> DataFrame:
+    """N-Triples or N-Quads: split by lines, parsed where they lie. ``named`` keeps a fourth term.
+
+    Blank nodes are of their file, whose hash becomes part of their label.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [q for line in batch.column(0).to_pylist() if (q := parse_line(line))]
-            if not named and any(q[0] is not None for q in rows):
-                raise Malformed("a fourth term in N-Triples")
+            rows = []
+            for line, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                quad = parse_line(line)
+                if quad:
+                    if not named and quad[0] is not None:
+                        raise Malformed("a fourth term in N-Triples")
+                    rows.append([f"_:f{number & 0xFFFFFFFFFFFFFFFF:x}.{t[2:]}" if t is not None and t.startswith("_:") else t for t in quad])
             yield pa.RecordBatch.from_pylist([dict(zip("gspo", q, strict=True)) for q in rows], schema=_ARROW)
 
-    return spark.read.text(path).mapInArrow(run, SCHEMA)
+    return spark.read.text(path).select("value", F.xxhash64(F.input_file_name()).alias("number")).mapInArrow(run, SCHEMA)
 
 
-def read_documents(spark: SparkSession, path: str, form: str, base: str = "") -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], form: str, base: str = "") -> DataFrame:
     """Turtle or TriG: a task a file; each file's own IRI is its base and keeps its blank nodes apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,19 +59,34 @@ def read(spark: SparkSession, path: str, form: str | None = None, base: str = ""
     return read_documents(spark, path, how, base)
 
 
-def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files and folders (all .nt, .nq, .ttl and .trig below them) as one set of quads."""
-    parts = []
+def found_files(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files among paths and below folders, by format."""
+    out: dict[str, list[str]] = {}
     for path in paths:
-        if path.rsplit(".", 1)[-1].lower() in FORMATS:
-            parts.append(read(spark, path))
+        form = path.rsplit(".", 1)[-1].lower()
+        if form in FORMATS:
+            out.setdefault(form, []).append(path)
             continue
         for form in ("nt", "nq", "ttl", "trig"):
             found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{form}").option("recursiveFileLookup", "true").load(path).select("path")
-            names = [r["path"] for r in found.collect()]
+            names = sorted(r["path"] for r in found.collect())
             if names:
-                parts.append(reduce(DataFrame.unionByName, [read(spark, n, form) for n in names]))
-    return reduce(DataFrame.unionByName, parts).distinct() if parts else spark.createDataFrame([], SCHEMA)
+                out.setdefault(form, []).extend(names)
+    return out
+
+
+def read_each(spark: SparkSession, names: dict[str, list[str]]) -> DataFrame:
+    """The quads of files, one scan a format however many files there are; repeats stay."""
+    parts = []
+    for form, own in names.items():
+        how = FORMATS.get(form, "turtle")
+        parts.append(read_lines(spark, own, form in ("nq", "nquads")) if how == "lines" else read_documents(spark, own, how))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+
+
+def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files and folders (all .nt, .nq, .ttl and .trig below them) as one set of quads."""
+    return read_each(spark, found_files(spark, paths)).distinct()
 
 
 def file_path(source: str) -> str:

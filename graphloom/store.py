@@ -54,6 +54,11 @@ class QuadGraph:
             return self.quads.where(F.col("g").isNull()).select("s", "p", "o")
         return self.quads.where(F.col("g").isNull() | ~F.col("g").startswith(RESERVED)).select("s", "p", "o").distinct()
 
+    def triples_of(self, resources: DataFrame) -> Relation:
+        """The triples of the default scope whose subject is in column ``s``."""
+        df = self.scope(("default",)).join(resources.select("s").distinct(), "s", "left_semi")
+        return Relation(df.select("s", "p", "o"), {c: Val("term", F.col(c)) for c in "spo"})
+
     def predicate_counts(self, scope: tuple) -> DataFrame:
         """``p, n``: the triples of each predicate."""
         return self.scope(scope).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
@@ -93,9 +98,12 @@ def statistics(quads: DataFrame) -> DataFrame:
 
 
 def characteristic_sets(quads: DataFrame, most: int = 1024) -> DataFrame:
-    """Sets of predicates that subjects have together, the most frequent first."""
+    """Sets of predicates that subjects have together, the most frequent first; all beyond ``most`` sets are one last row, whose ``predicates`` is null."""
     sets = quads.groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("predicates"), F.count(F.lit(1)).alias("n"))
-    return sets.groupBy("predicates").agg(F.count(F.lit(1)).alias("subjects"), F.sum("n").alias("triples")).orderBy(F.desc("subjects"), "predicates").limit(most)
+    counts = checkpointed(sets.groupBy("predicates").agg(F.count(F.lit(1)).alias("subjects"), F.sum("n").alias("triples")))
+    first = counts.orderBy(F.desc("subjects"), "predicates").limit(most)
+    rest = counts.join(first.select("predicates"), "predicates", "left_anti").agg(F.sum("subjects").alias("subjects"), F.sum("triples").alias("triples")).where("subjects > 0")
+    return first.unionByName(rest.select(F.lit(None).cast("array<string>").alias("predicates"), "subjects", "triples"))
 
 
 def dictionary(quads: DataFrame) -> DataFrame:
@@ -139,15 +147,67 @@ def has_type(quads: DataFrame, kind: Term) -> DataFrame:
     return quads.where((F.col("p") == RDF_TYPE) & (F.col("o") == kind.stored)).select("s").distinct()
 
 
+#: Bytes of terms up to which a change is broadcast against the base, measured before each join.
+SMALL = 16 << 20
+#: Rows of the overlay, as a share of the base's, from which both are folded into a new base.
+FOLD = 0.25
+_QUAD = ["g", "s", "p", "o"]
+
+
+def _keyed(quads: DataFrame) -> DataFrame:
+    """Quads with the default graph as the empty name, so that they join on equality."""
+    return quads.select(F.coalesce("g", F.lit("")).alias("g"), "s", "p", "o")
+
+
+def _named(quads: DataFrame) -> DataFrame:
+    return quads.select(F.nullif(F.col("g"), F.lit("")).alias("g"), "s", "p", "o")
+
+
 @dataclass
+class Segment:
+    """A base and the changes since, as events: ``g, s, p, o, mult, version`` with ``mult`` 1 or -1."""
+
+    base: DataFrame
+    since: int
+    rows: int | None = None
+    events: list[tuple[int, DataFrame]] = field(default_factory=list)
+    size: int = 0
+    bytes: int = 0
+
+    def overlay(self, version: int) -> DataFrame | None:
+        """Quads changed up to a version and whether they are there: the last event of each tells."""
+        parts = [df for v, df in self.events if v <= version]
+        if not parts:
+            return None
+        return reduce(DataFrame.unionByName, parts).groupBy(*_QUAD).agg(F.max_by("mult", "version").alias("mult"))
+
+    def small(self, df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= SMALL else df
+
+    def visible(self, version: int) -> DataFrame:
+        """The quads as of a version, keyed."""
+        over = self.overlay(version)
+        if over is None:
+            return self.base
+        kept = self.base.join(self.small(over.select(*_QUAD), self.bytes), _QUAD, "left_anti")
+        return kept.unionByName(over.where("mult > 0").select(*_QUAD))
+
+
 class Store:
-    """The state of a dataset over time: a batch of changes is a version, and each version can be read."""
+    """The state of a dataset over time: a batch of changes is a version, and each version can be read.
 
-    quads: DataFrame
-    version: int = 0
-    #: ``(version, deletions, additions)`` as changes that were real, newest last.
-    log: list[tuple[int, DataFrame, DataFrame]] = field(default_factory=list)
-    history: dict[int, DataFrame] = field(default_factory=dict)
+    A change is stored as its own events beside the base, which is neither shuffled nor
+    rewritten while changes are small: they are broadcast against it if their measured size
+    allows. Once the events are more than ``FOLD`` of the base, both are folded into a new
+    base; earlier versions are read from the old one until ``compact`` drops it. A
+    pinned version is not dropped.
+    """
+
+    def __init__(self, quads: DataFrame, version: int = 0):
+        self.version = version
+        self.segments = [Segment(_keyed(quads), version)]
+        self.pins: dict[int, int] = {}
+        self._prepared = False
 
     @staticmethod
     def empty(spark: SparkSession) -> Store:
@@ -155,40 +215,114 @@ class Store:
 
     @staticmethod
     def of(quads: DataFrame) -> Store:
-        return Store(quads.select("g", "s", "p", "o").distinct())
+        return Store(quads.select(*_QUAD).distinct())
+
+    @property
+    def quads(self) -> DataFrame:
+        return self.at(self.version)
+
+    def _segment(self, version: int) -> Segment:
+        found = [s for s in self.segments if s.since <= version]
+        if not found or version > self.version:
+            raise Refused(f"no version {version}")
+        return found[-1]
+
+    def at(self, version: int) -> DataFrame:
+        """The quads as of a version."""
+        return _named(self._segment(version).visible(version))
 
     def apply(self, deletions: DataFrame | None, additions: DataFrame | None) -> tuple[int, int]:
         """``S' = (S - D) + A``: deletions first; counts of real changes. Nothing real is no new version."""
-        def side(df: DataFrame, name: str) -> DataFrame:
-            return df.select("g", "s", "p", "o", *[F.lit(n == name).alias(n) for n in ("in_s", "in_d", "in_a")])
-
-        parts = [side(self.quads, "in_s")]
-        parts += [side(df, name) for df, name in ((deletions, "in_d"), (additions, "in_a")) if df is not None]
-        # one shuffle tells of every quad which of the three sets has it; the unnamed graph groups like any other
-        flags = [F.bool_or(n).alias(n) for n in ("in_s", "in_d", "in_a")]
-        state = checkpointed(reduce(DataFrame.unionByName, parts).groupBy("g", "s", "p", "o").agg(*flags))
-        gone, new = F.expr("in_s and in_d and not in_a"), F.expr("in_a and not in_s")
-        counts = tuple(state.agg(F.count_if(gone), F.count_if(new)).first())
+        now = self.segments[-1]
+        if not self._prepared:
+            # the base is read by every change, so what made it is cut off once
+            now.base, self._prepared = checkpointed(now.base), True
+        sides = [_keyed(df).select("*", F.lit(name == "in_a").alias("add")) for df, name in ((deletions, "in_d"), (additions, "in_a")) if df is not None]
+        if not sides:
+            return 0, 0
+        # a quad that is taken away and put in is put in
+        asked = checkpointed(reduce(DataFrame.unionByName, sides).groupBy(*_QUAD).agg(F.max("add").alias("add")))
+        size, weight = self._measured(asked)
+        if not size:
+            return 0, 0
+        keys = now.small(asked.select(*_QUAD), weight)
+        here = now.base.join(keys, _QUAD, "left_semi").select(*_QUAD, F.lit(1).alias("mult"), F.lit(-1).alias("version"))
+        parts = [here, *(df.select(*_QUAD, "mult", "version") for _, df in now.events)]
+        state = reduce(DataFrame.unionByName, parts).groupBy(*_QUAD).agg(F.max_by("mult", "version").alias("mult"))
+        change = asked.join(state, _QUAD, "left").where("add <> (coalesce(mult, -1) > 0)")
+        events = checkpointed(change.select(*_QUAD, F.when(F.col("add"), 1).otherwise(-1).alias("mult"), F.lit(self.version + 1).alias("version")))
+        row = events.agg(F.count_if(F.col("mult") < 0), F.count_if(F.col("mult") > 0)).first()
+        counts = (row[0], row[1])
         if any(counts):
-            self.history[self.version] = self.quads
             self.version += 1
-            self.quads = state.where("in_a or in_s and not in_d").select("g", "s", "p", "o")
-            self.log.append((self.version, state.where(gone).select("g", "s", "p", "o"), state.where(new).select("g", "s", "p", "o")))
+            now.events.append((self.version, events))
+            now.size += sum(counts)
+            now.bytes += weight
+            self._fold(now)
         return counts
 
-    def at(self, version: int) -> DataFrame:
-        """The quads as of a version."""
-        return self.quads if version == self.version else self.history[version]
+    @staticmethod
+    def _measured(df: DataFrame) -> tuple[int, int]:
+        """Rows and bytes of terms."""
+        row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.octet_length(c) for c in _QUAD)), F.lit(0))).first()
+        return row[0], row[1]
+
+    def _fold(self, now: Segment) -> None:
+        if now.size < 1 << 16 and now.bytes <= SMALL:
+            return
+        if now.rows is None:
+            now.rows = now.base.count()
+        if now.size > FOLD * now.rows:
+            self.segments.append(Segment(checkpointed(now.visible(self.version)), self.version))
+
+    def pin(self, version: int | None = None) -> int:
+        """Hold a version for a reader until it is released."""
+        version = self.version if version is None else version
+        self._segment(version)
+        self.pins[version] = self.pins.get(version, 0) + 1
+        return version
+
+    def release(self, version: int) -> None:
+        self.pins[version] -= 1
+        if not self.pins[version]:
+            del self.pins[version]
 
     def compact(self, keep: int = 0) -> None:
-        """Forget all but the last ``keep`` versions before this one."""
-        self.history = {v: q for v, q in self.history.items() if v >= self.version - keep}
-        self.log = [entry for entry in self.log if entry[0] > self.version - keep]
+        """Forget the versions before the last ``keep``, but none that is pinned: events up to there become the base."""
+        first = min([max(self.segments[0].since, self.version - keep), *self.pins])
+        own = self._segment(first)
+        later = [(v, df) for v, df in own.events if v > first]
+        if first > own.since:
+            fresh = Segment(checkpointed(own.visible(first)), first)
+            fresh.events = later
+            if later:
+                fresh.size, fresh.bytes = self._measured(reduce(DataFrame.unionByName, [df for _, df in later]).select(*_QUAD))
+            own = fresh
+        self.segments = [own, *(s for s in self.segments if s.since > first)]
+        self._prepared = True
 
     def changes(self) -> DataFrame:
         """The change feed: quads with ``mult`` 1 or -1 and the version."""
-        out = self.quads.limit(0).select("*", F.lit(1).alias("mult"), F.lit(0).alias("version"))
-        for version, gone, new in self.log:
-            for df, mult in ((gone, -1), (new, 1)):
-                out = out.unionByName(df.select("g", "s", "p", "o", F.lit(mult).alias("mult"), F.lit(version).alias("version")))
-        return out
+        out = self.segments[0].base.limit(0).select(*_QUAD, F.lit(1).alias("mult"), F.lit(0).alias("version"))
+        for segment in self.segments:
+            for _, df in segment.events:
+                out = out.unionByName(df)
+        return out.withColumn("g", F.nullif(F.col("g"), F.lit("")))
+
+    def intervals(self) -> DataFrame:
+        """Every quad that was there at a version that is kept, with the versions of which it is: ``begin <= version < end``.
+
+        ``end`` is null while it is there.
+        """
+        first = self.segments[0]
+        start = first.base.select(*_QUAD, F.lit(1).alias("mult"), F.lit(first.since).alias("version"))
+        marks = reduce(DataFrame.unionByName, [start, *(df for s in self.segments for _, df in s.events)])
+        steps = F.array_sort(F.collect_list(F.struct("version", "mult")))
+        ends = F.expr("filter(transform(steps, (x, i) -> struct(x.mult as mult, x.version as begin, get(steps, i + 1).version as end)), y -> y.mult > 0)")
+        out = marks.groupBy(*_QUAD).agg(steps.alias("steps")).select(*_QUAD, F.explode(ends).alias("x"))
+        return out.select(F.nullif(F.col("g"), F.lit("")).alias("g"), "s", "p", "o", "x.begin", "x.end")
+
+
+def visible(intervals: DataFrame, version: int) -> DataFrame:
+    """The quads of a version among those with ``begin`` and ``end``."""
+    return intervals.where((F.col("begin") <= version) & (F.col("end").isNull() | (F.col("end") > version))).select("g", "s", "p", "o")

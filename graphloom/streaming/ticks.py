@@ -8,25 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..incremental import Circuit
+from ..incremental import Circuit, Journal
 from ..store import Store
 
 
-def ticking(circuit: Circuit, publish: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+def ticking(circuit: Circuit, publish: Callable[[DataFrame, int], None] | None = None, journal: Journal | None = None, last: int = -1) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each micro-batch of ``op, s, p, o`` (``op`` 1 or -1) is a tick.
 
-    A batch that is delivered again after a failure is known by its number and left out.
+    A batch that is delivered again is known by its number and left out. With a journal its changes are
+    written before they are applied, so that a restarted driver (``Journal.resume`` gives the circuit
+    and ``last``) goes on where it was: the last batch, which may not have been published, is published again
+    under its number, and no batch counts twice.
     """
-    done: set[int] = set()
+    done = {"last": last}
 
     def run(batch: DataFrame, number: int) -> None:
-        if number in done:
+        if number <= done["last"]:
+            if publish and journal and number == last and circuit.feed:
+                publish(circuit.feed[-1], number)
             return
-        circuit.log(batch.select("s", "p", "o", F.col("op").cast("long").alias("mult")))
+        changes = batch.select("s", "p", "o", F.col("op").cast("long").alias("mult"))
+        circuit.log(journal.append(number, changes) if journal else changes)
         out = circuit.tick()
         if publish:
             publish(out, number)
-        done.add(number)
+        done["last"] = number
+        if journal and (number + 1) % journal.every == 0:
+            journal.checkpoint(circuit, number)
+            journal.tidy()
 
     return run
 
