@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.closure import GUARD, PARTS, checkpointed, components, together, transitive
+from ..operators.closure import GUARD, checkpointed, components, together, transitive
 from ..terms import OWL, RDF_TYPE, RDFS, XSD, is_literal
 from . import datatypes
 from .evaluate import PREMISE, STARS, delta_steps, star_step
@@ -111,13 +111,15 @@ def _closures(known: DataFrame, dirty: set[str], closed: dict[str, str], pairs:
 def fixpoint(asserted: DataFrame, rules: list[Rule], closed: dict[str, str] | None = None, lists: bool = False, pairs: bool = True) -> Materialised:
     """All that follows. Each round joins what is new with all that is known, for the rules whose predicates changed.
 
-    A round writes what is new; the parts are put together now and then. The set of predicates
-    is carried along, so no round reads all facts for it.
+    What was inferred is written beside the asserted facts, and put together with them only when it has
+    as many rows, so all facts are rewritten a logarithmic number of times and a plan reads two
+    parts. The set of predicates is carried along, so no round reads all facts for it.
     """
     closed = closed or {}
     base = asserted.select("s", "p", "o").distinct().select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast(f"array<{PREMISE}>").alias("premises"))
     new = checkpointed(base)
     parts, rounds, added = [new], 0, []
+    rows, more = new.count(), 0
     present: set[str] = set()
     cells = collections(new) if lists else None
     while rounds < GUARD:
@@ -149,9 +151,11 @@ def fixpoint(asserted: DataFrame, rules: list[Rule], closed: dict[str, str] | No
         rounds += 1
         if not added[-1]:
             return Materialised(facts, rounds, added)
-        parts.append(new)
-        if len(parts) > PARTS:
-            parts = [checkpointed(together(parts))]
+        more += added[-1]
+        if more > rows:
+            parts, rows, more = [checkpointed(together([*parts, new]))], rows + more, 0
+        else:
+            parts = [parts[0], checkpointed(together([*parts[1:], new])) if len(parts) > 1 else new]
     raise RuntimeError("the rules did not settle")
 
 
