@@ -19,7 +19,9 @@ outside, quarters that differ in three bits link. Every link is verified.
 
 Defined results: texts without words have fingerprint zero, which links like
 any other; a null text is empty; a null ``doc_id`` never is the least of a
-component unless it has no other; repeated rows repeat.
+component unless it has no other; repeated rows repeat (ties of an id are one node); no documents give
+no rows; a very long text is read whole by one task, its shingles at about 30 bytes of memory a byte; other columns
+are dropped by ``near_duplicates`` and kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .components import components
 SHINGLE, SEED, RADIUS, QUARTERS, WIDTH = 3, 42, 3, 4, 16
 #: Variants in a bucket, about.
 BUCKET = 1 << 20
+#: Ids, counted before, up to which they are broadcast (16 MB).
+SOME = 1 << 20
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -197,9 +201,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that share an id are one document, of which one row stays; rows
     without an id are one document for each text and come after all others.
+
+    The ids that go and those of several rows are told apart first, without texts. If they are
+    few enough to be broadcast, which their count tells, texts are not shuffled but for rows that share an id.
     """
     instead = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
     own = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), instead).alias("id"))
-    kept = classes(own.select(F.col("id").alias("doc_id"), "row.text")).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = own.join(kept, "id", "left_semi")
-    return rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    classed = classes(own.select(F.col("id").alias("doc_id"), "row.text"))
+    told = classed.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    told = told.where("n > 1 or not stays").select("id", "stays").checkpoint()
+    some = told.count() <= SOME
+    few = F.broadcast(told) if some else told
+    plain = own.join(few, "id", "left_anti")
+    several = own.join(few.where("stays"), "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return plain.select("row.*").unionByName(several.select("row.*"))
