@@ -53,7 +53,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), []
-            for lo, hi in text_chunks(texts, 1 << 23):
+            for lo, hi in text_chunks(texts, 1 << 21):
                 ids += [x + end for x in bpe.encode(texts[lo:hi])]
             tokens = np.array([len(x) // len(end) for x in ids], dtype=np.int64)
             ends = before + np.cumsum(tokens)
