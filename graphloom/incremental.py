@@ -400,7 +400,8 @@ class Journal:
         if states:
             last = states[-1]
             path = f"{self.path}/state/{last:012d}"
-            base, facts = self.spark.read.parquet(f"{path}/base"), self.spark.read.parquet(f"{path}/facts")
+            # copies, for the folder goes with the next state while the circuit still reads them
+            base, facts = checkpointed(self.spark.read.parquet(f"{path}/base")), checkpointed(self.spark.read.parquet(f"{path}/facts"))
             time = self.spark.read.parquet(f"{path}/whole").first()["time"]
             start = facts.select(*KEY, F.lit(1).cast("long").alias("mult"), F.lit(time).cast("long").alias("time"), F.when(F.col("rule").isNull(), "asserted").otherwise("inferred").alias("kind"), "rule")
             feed = [*[self.spark.createDataFrame([], FEED) for _ in range(time - 1)], start] if time else []

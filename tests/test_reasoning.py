@@ -270,6 +270,21 @@ def test_restart_in_the_middle_of_a_stream(spark, tmp_path):
     circuit.validate()
 
 
+def test_a_resumed_circuit_outlives_the_state_it_came_from(spark, tmp_path):
+    rules = parse_rules("s: ?x <u:p> ?y => ?x <u:q> ?y")
+    journal, first = I.Journal(spark, f"{tmp_path}/j", every=1), I.Circuit(spark, rules)
+    first.assert_(spark.createDataFrame([("<a>", "<u:p>", "<b>")], "s string, p string, o string"))
+    first.tick()
+    journal.checkpoint(first, 0)
+    circuit, _ = journal.resume(rules)
+    journal.checkpoint(circuit, 1)
+    journal.tidy()
+    assert sorted(p.name for p in (tmp_path / "j/state").iterdir()) == [f"{1:012d}"]
+    circuit.retract(spark.createDataFrame([("<a>", "<u:p>", "<b>")], "s string, p string, o string"))
+    assert circuit.tick().count() == 2 and circuit.facts.count() == 0 and circuit.snapshot(1).count() == 2
+    circuit.validate()
+
+
 def test_a_tick_writes_what_it_touches(spark):
     rules = parse_rules("s: ?x <u:p> ?y => ?x <u:q> ?y")
     rows = lambda lo, hi: spark.createDataFrame([(f"<s{i}>", "<u:p>", f"<o{i}>") for i in range(lo, hi)], "s string, p string, o string")
