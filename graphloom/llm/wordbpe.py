@@ -3,7 +3,7 @@
 Ids equal those of the ``tokenizers`` library. Texts are cut at blanks, which no
 token spans; each distinct piece is encoded once for a batch and a text's ids
 are the concatenation of its pieces'. Pieces of Latin letters, digits and marks
-are folded and split here, and their runs are merged together in arrays: in
+are folded and split here (nearly all are a word and the marks behind it, which needs no search), and their runs are merged together in arrays: in
 each step every run merges its lowest-ranked pair, the leftmost of equals, which
 is what the library does run by run. Any other piece (combining marks, other
 scripts, special tokens) goes to the library itself.
@@ -12,15 +12,20 @@ scripts, special tokens) goes to the library itself.
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 VOCABULARY = "word_bpe_49k.json"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin text: composed, with no case that depends on its place.
 PLAIN = regex.compile(r"[\t\x20-\x7e¡-ɏ]*")
+#: Marks that are one run behind a word: no apostrophe, which may begin a run of its own, and no "<" of a special token.
+MARKS = '!"#$%&()*+,-./:;=>?@[\\]^_`{|}~'
 NONE = np.int64(1) << 40
 
 
@@ -133,21 +138,29 @@ class WordBPE:
             rank[at[has] - 1] = self.table.rank(symbols[at[has] - 1] * self.size + symbols[at[has]])
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that aren't known."""
-        split, other, runs = [], [], {}
+    def learn(self, pieces: list[str]) -> None:
+        """Encode distinct pieces that aren't known."""
+        words, split, other, runs = [], [], [], {}
         for p in pieces:
-            if PLAIN.fullmatch(p) and "<|" not in p:
-                parts = SPLIT.findall(p.lower())
+            lower = p.lower()
+            word = lower.rstrip(MARKS)
+            if word.isalpha() and len(p) < 1 << 17 and (p.isascii() or PLAIN.fullmatch(p)):
+                marks = lower[len(word) :]
+                words.append((p, word, marks))
+                runs[word] = runs[marks] = b""
+            elif PLAIN.fullmatch(p) and "<|" not in p:
+                parts = SPLIT.findall(lower)
                 split.append((p, parts))
                 for q in parts:
                     runs[q] = b""
             else:
                 other.append(p)
-        short = [r for r in runs if len(r) < 1 << 17]
+        short = [r for r in runs if 0 < len(r) < 1 << 17]
         for r, ids in zip(short, self.merge([r.encode() for r in short]), strict=True):
             runs[r] = ids
         known = self.known
+        for p, word, marks in words:
+            known[p] = runs[word] + runs[marks]
         for p, parts in split:
             if all(len(q) < 1 << 17 for q in parts):
                 known[p] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[q] for q in parts])
@@ -158,9 +171,23 @@ class WordBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian in ``width``."""
-        if len(self.known) > self.KEEP:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split).difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        if len(self.known) > self.KEEP:  # those met first are the frequent ones; the empty piece is the first
+            self.known = dict(islice(self.known.items(), self.KEEP // 2))
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], type=pa.string()), " ")
+        found = split.values.dictionary_encode()
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, pieces))
+        self.learn([p for p, own in zip(pieces, ids, strict=True) if own is None])
+        ids = [self.known[p] if own is None else own for p, own in zip(pieces, ids, strict=True)]
+        # each distinct piece's ids once, one after another, and from there to the places of its occurrences
+        w = np.dtype(self.width).itemsize
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // w
+        which = found.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.append(0, np.cumsum(lengths))
+        begin = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        place = np.repeat(begin, lengths)
+        place += np.arange(len(place))
+        packed = np.frombuffer(b"".join(ids), dtype=self.width)[place].tobytes()
+        cuts = (ends[split.offsets.to_numpy()] * w).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -97,6 +97,24 @@ def test_ids_equal_the_library(docs):
         assert np.frombuffer(ids, dtype="<u2").tolist() == bpe.library.encode(width, add_special_tokens=False).ids, width
 
 
+def test_words_need_no_search_and_the_first_pieces_stay(monkeypatch):
+    searched, split = set(), wordbpe.SPLIT
+
+    class Search:
+        def findall(self, text):
+            searched.add(text)
+            return split.findall(text)
+
+    monkeypatch.setattr(wordbpe, "SPLIT", Search())
+    bpe = wordbpe.WordBPE()
+    bpe.KEEP = 40
+    texts = ["The first, Élan!** STRASSE's straße; don't stop'. (x) a<|b İx. Ⱥ?", *(f"the {chr(97 + i % 26) * (2 + i // 26)}.. Word{chr(97 + i % 26) * (2 + i // 26)}" for i in range(80))]
+    for text in texts:
+        assert np.frombuffer(bpe.encode([text])[0], dtype="<u2").tolist() == bpe.library.encode(text, add_special_tokens=False).ids, text
+    assert searched == {"strasse's", "don't", "stop'.", "(x)", "i̇x."}
+    assert len(bpe.known) <= 43 and {"", "The", "first,"} <= bpe.known.keys()
+
+
 def test_packing_against_brute_force(spark, docs):
     from tokenizers import Tokenizer
 
