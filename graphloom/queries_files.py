@@ -30,13 +30,11 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_quads(spark, sf_dir).where(F.col("g").isNotNull()).withColumn("g", F.lit(None).cast("string"))
 
 
-def _turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in Turtle with prefixes, lists of predicates and objects, and a blank node for each."""
+def _turtle(spark: SparkSession, sf_dir: str) -> str:
+    """A file of orders in Turtle with prefixes, lists of predicates and objects, and a blank node for each."""
     o = table(spark, sf_dir, "orders")
     line = F.format_string('o:%s t:o_orderpriority "%s" ; t:note [ t:of o:%s ] .', F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_orderkey").cast("string"))
-    head = spark.createDataFrame([(0, "@prefix t: <urn:tpch:> ."), (0, "@prefix o: <urn:tpch:orders/> .")], "k int, value string")
-    body = o.select(F.lit(1).alias("k"), line.alias("value"))
-    return head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value")
+    return one_file(o.select(line.alias("value")), workplace(spark) + "/orders.ttl", "@prefix t: <urn:tpch:> .\n@prefix o: <urn:tpch:orders/> .\n")
 
 
 @register(_PLAIN)
@@ -56,7 +54,7 @@ def load_nquads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"{_PLAIN} UNION ALL SELECT '_:', '<urn:tpch:of>', {_S} FROM orders UNION ALL SELECT {_S}, '<urn:tpch:note>', '_:' FROM orders")
 def load_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Turtle file; blank nodes are told by their kind alone."""
-    path = one_file(_turtle(spark, sf_dir), workplace(spark) + "/orders.ttl")
+    path = _turtle(spark, sf_dir)
     blank = lambda c: F.when(F.col(c).startswith("_:"), "_:").otherwise(F.col(c)).alias(c)
     return files.read(spark, path).select(blank("s"), "p", blank("o"))
 
@@ -97,7 +95,7 @@ def load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT '<urn:x:into>' AS g, s, p, o FROM ({_PLAIN}) UNION ALL SELECT '<urn:x:into>', '_:', '<urn:tpch:of>', {_S} FROM orders UNION ALL SELECT '<urn:x:into>', {_S}, '<urn:tpch:note>', '_:' FROM orders")
 def update_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOAD into a graph, and a silent one of what is not there."""
-    path = one_file(_turtle(spark, sf_dir), workplace(spark) + "/orders.ttl")
+    path = _turtle(spark, sf_dir)
     state = Store.empty(spark)
     Updater(spark, state).run(f"LOAD <file://{quote(path)}> INTO GRAPH <urn:x:into> ; LOAD SILENT <http://x/none.nt>")
     blank = lambda c: F.when(F.col(c).startswith("_:"), "_:").otherwise(F.col(c)).alias(c)

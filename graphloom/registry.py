@@ -55,14 +55,24 @@ def workplace(spark: SparkSession) -> str:
     return f"{shared}/files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="loom-files-")
 
 
-def one_file(lines: DataFrame, path: str) -> str:
-    """Lines of text as one file of a given name."""
+def one_file(lines: DataFrame, path: str, head: str = "") -> str:
+    """Lines of text as one file of a given name, ``head`` first: written by all tasks, and their parts strung together as streams."""
     spark = lines.sparkSession
-    jvm = spark._jvm
-    lines.coalesce(1).write.mode("overwrite").text(f"{path}.parts")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    lines.write.mode("overwrite").text(f"{path}.parts")
     folder, whole = jvm.org.apache.hadoop.fs.Path(f"{path}.parts"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
-    fs.rename(part, whole)
+    fs = folder.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda part: part.getName())
+    out = fs.create(whole, True)
+    try:
+        out.write(bytearray(head, "utf-8"))
+        for part in parts:
+            source = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
     fs.delete(folder, True)
     return path

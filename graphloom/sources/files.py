@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..parser.rdf import FORMATS, Malformed, Turtle, parse_line
+from ..parser.rdf import FORMATS, Malformed, parse_line
 from ..store import SCHEMA
 from ..terms import ntriples_column
+from .documents import read_documents
 
 _ARROW = pa.schema([("g", pa.string()), ("s", pa.string()), ("p", pa.string()), ("o", pa.string())])
 
@@ -37,19 +38,6 @@ def read_lines(spark: SparkSession, path: str | list[str], named: bool) -> DataF
     return spark.read.text(path).select("value", F.xxhash64(F.input_file_name()).alias("number")).mapInArrow(run, SCHEMA)
 
 
-def read_documents(spark: SparkSession, path: str | list[str], form: str, base: str = "") -> DataFrame:
-    """Turtle or TriG: a task a file; each file's own IRI is its base and keeps its blank nodes apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, name, number in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                quads = Turtle(text, base or name, f"f{number & 0xFFFFFFFFFFFFFFFF:x}.", graphs=form == "trig").quads()
-                yield pa.RecordBatch.from_pylist([dict(zip("gspo", q, strict=True)) for q in quads], schema=_ARROW)
-
-    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name"))
-    return files.select("value", "name", F.xxhash64("name").alias("number")).mapInArrow(run, SCHEMA)
-
-
 def read(spark: SparkSession, path: str, form: str | None = None, base: str = "") -> DataFrame:
     """Quads of a file, by its ending: .nt .nq .trig, and else Turtle."""
     form = form or (path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "ttl")
