@@ -370,8 +370,7 @@ def grouped_count_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT row_number() OVER (ORDER BY '\"' || o_orderpriority || '\"', '<urn:tpch:orders/' || o_orderkey || '>') - 1 AS place, '<urn:tpch:orders/' || o_orderkey || '>' AS s FROM orders WHERE o_orderstatus = 'P'")
 def ordered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph's quads by object, then subject, then predicate."""
-    found = scan(order_quads(spark, sf_dir), g=f"<{BASE}status/P>", order="osp").select("s").collect()
-    return spark.createDataFrame([(i, r["s"]) for i, r in enumerate(found)], "place long, s string")
+    return scan(order_quads(spark, sf_dir), g=f"<{BASE}status/P>", order="osp", places=True).select("place", "s")
 
 
 @register("SELECT '<urn:tpch:orders/' || o_orderkey || '>' AS s FROM orders WHERE o_orderpriority = '2-HIGH'")

@@ -70,14 +70,14 @@ class QuadGraph:
         return connected([match(r, (*t, *graph)) for t in patterns], self.spark)
 
 
-def scan(quads: DataFrame, g: str | None = None, s: str | None = None, p: str | None = None, o: str | None = None, order: str = "spo") -> DataFrame:
-    """Quads by any of their terms, in any of the six orders."""
+def scan(quads: DataFrame, g: str | None = None, s: str | None = None, p: str | None = None, o: str | None = None, order: str = "spo", places: bool = False) -> DataFrame:
+    """Quads by any of their terms, in any of the six orders; or with their ``place`` in it as a column, from 0."""
     if sorted(order) != sorted("spo"):
         raise Refused(f"no order {order}")
     for name, term in (("g", g), ("s", s), ("p", p), ("o", o)):
         if term is not None:
             quads = quads.where(F.col(name) == term)
-    return quads.orderBy(*order)
+    return numbered(quads, *order) if places else quads.orderBy(*order)
 
 
 def top_predicates(quads: DataFrame, n: int) -> DataFrame:
@@ -106,37 +106,54 @@ def characteristic_sets(quads: DataFrame, most: int = 1024) -> DataFrame:
     return first.unionByName(rest.select(F.lit(None).cast("array<string>").alias("predicates"), "subjects", "triples"))
 
 
-def dictionary(quads: DataFrame) -> DataFrame:
-    """``id, term`` for each distinct term, ids from 1 in term order within blocks: no single task sorts all terms."""
-    terms = quads.select(F.explode(F.array("g", "s", "p", "o")).alias("term")).where("term is not null").distinct()
-    parts = checkpointed(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id()))
-    sizes = sorted((r["part"], r["count"]) for r in parts.groupBy("part").count().collect())
-    offsets, at = {}, 0
-    for part, n in sizes:
-        offsets[part] = at
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with their place in an order, from 0, as ``place``: by ranges, of which the driver gets the sizes alone."""
+    parts = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("~part"), F.monotonically_increasing_id().alias("~row")))
+    # an id is the partition in its upper bits and the row in its lower ones
+    offsets, at = [], 0
+    for part, n in sorted((r["~part"], r["count"]) for r in parts.groupBy("~part").count().collect()):
+        offsets.append((part, at))
         at += n
-    from pyspark.sql import Window
+    known = F.broadcast(rows.sparkSession.createDataFrame(offsets, "`~part` int, `~before` long"))
+    return parts.join(known, "~part").select(*rows.columns, (F.col("~before") + F.col("~row").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
+def dictionary(quads: DataFrame) -> DataFrame:
+    """``id, term, n`` for each distinct term and how often it stands, ids from 1 in term order: no single task sorts all terms."""
+    terms = quads.select(F.explode(F.array("g", "s", "p", "o")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(terms, "term").select((F.col("place") + 1).alias("id"), "term", "n")
+
+
+#: Uses from which a term is broadcast, and the share of all uses from which it is however large the input: so these are few.
+HOT, HOT_SHARE = 1 << 16, 1e-4
+
+
+def looked_up(rows: DataFrame, c: str, terms: DataFrame, by: str, to: str, hot: DataFrame) -> DataFrame:
+    """Rows with the term or id in column ``c`` replaced, null if it is none: the hot ones by broadcast, and only the others by a shuffle, where each task gets its share."""
+    few = F.broadcast(hot.select(F.col(by).alias(c), F.col(to).alias("~few")))
+    spread = F.xxhash64(*rows.columns)
+    none = F.concat(F.lit("~"), spread.cast("string")) if by == "term" else -F.abs(F.shiftright(spread, 1)) - 1
+    own = rows.join(few, c, "left").withColumn("~key", F.when(F.col("~few").isNull() & F.col(c).isNotNull(), F.col(c)).otherwise(none)).drop(c)
+    found = own.join(terms.select(F.col(by).alias("~key"), F.col(to).alias("~many")), "~key", "left")
+    return found.select(*[F.coalesce("~few", "~many").alias(c) if name == c else F.col(name) for name in rows.columns])
+
 
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("term"))
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part")) if offsets else F.lit(0)
-    return parts.select((rank + base).cast("long").alias("id"), "term")
+def hot_terms(terms: DataFrame) -> DataFrame:
+    """The entries of a dictionary that stand so often that they may not be a key of a shuffle."""
+    uses = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return terms.where(F.col("n") > max(HOT, int(HOT_SHARE * uses)))
 
 
 def encode_ids(quads: DataFrame, terms: DataFrame) -> DataFrame:
     """Quads of ids; the default graph is 0."""
-    out = quads
-    for c in "gspo":
-        known = terms.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c))
-        out = out.join(known, c, "left").drop(c)
-    return out.select(*[F.coalesce(f"{c}_id", F.lit(0)).alias(c) for c in "gspo"])
+    hot = hot_terms(terms)
+    out = reduce(lambda df, c: looked_up(df, c, terms, "term", "id", hot), "gspo", quads.select("g", "s", "p", "o"))
+    return out.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in "gspo"])
 
 
 def decode_ids(ids: DataFrame, terms: DataFrame) -> DataFrame:
-    out = ids
-    for c in "gspo":
-        known = terms.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term"))
-        out = out.join(known, c, "left").drop(c)
-    return out.select(*[F.col(f"{c}_term").alias(c) for c in "gspo"])
+    hot = hot_terms(terms)
+    return reduce(lambda df, c: looked_up(df, c, terms, "id", "term", hot), "gspo", ids.select("g", "s", "p", "o"))
 
 
 def reserved(graph: str | None) -> bool:

@@ -47,3 +47,30 @@ def test_one_file_is_written_by_all_tasks(spark, tmp_path):
     lines = spark.range(0, 100, 1, 4).select(F.col("id").cast("string").alias("value"))
     path = one_file(lines, str(tmp_path / "all.txt"), "head\n")
     assert open(path).read().splitlines() == ["head", *map(str, range(100))]
+
+
+def test_an_ordered_scan_numbers_rows_without_the_driver(spark):
+    from graphloom.store import SCHEMA, scan
+
+    quads = spark.createDataFrame([(None, f"s{i:03}", "p", f"o{i % 7}") for i in range(200)], SCHEMA)
+    found = scan(quads, order="osp", places=True)
+    assert [r["s"] for r in sorted(found.collect(), key=lambda r: r["place"])] == [r["s"] for r in scan(quads, order="osp").collect()]
+    assert sorted(r["place"] for r in found.collect()) == list(range(200))
+
+
+def test_a_hot_term_is_no_key_of_a_shuffle(spark, monkeypatch):
+    from graphloom import store
+    from graphloom.ids import IdGraph
+
+    monkeypatch.setattr(store, "HOT", 20)
+    quads = spark.createDataFrame([(None if i % 3 else "<g>", f"<s{i}>", "<p>", '"o"') for i in range(400)], store.SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    source = IdGraph(quads)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in source.encoded.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 200  # one predicate, several tasks
+    encoded = store.encode_ids(quads, source.terms)
+    back = store.decode_ids(encoded, source.terms)
+    assert sorted(map(str, back.collect())) == sorted(map(str, quads.collect()))
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 4
