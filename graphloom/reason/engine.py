@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.closure import GUARD, checkpointed, components, together, transitive
 from ..terms import OWL, RDF_TYPE, RDFS, XSD, is_literal
 from . import datatypes
-from .evaluate import PREMISE, STARS, delta_steps, star_step
+from .evaluate import PREMISE, STARS, Sizes, delta_steps, star_step
 from .lists import LISTED, collections, list_rules
 from .rules import CLOSED, Rule, owl_rules
 
@@ -86,7 +86,7 @@ def _pairs(triples: DataFrame, p: str) -> DataFrame:
     return triples.where(F.col("p") == p).select(F.col("s").alias("src"), F.col("o").alias("dst"))
 
 
-def _closures(known: DataFrame, dirty: set[str], closed: dict[str, str], pairs: bool = True) -> list[DataFrame]:
+def _closures(known: DataFrame, dirty: set[str], closed: dict[str, str], pairs: bool = True, sizes: Sizes | None = None) -> list[DataFrame]:
     """Transitive predicates and, unless classes are kept apart, all pairs of ``owl:sameAs``, where they changed."""
     out = []
 
@@ -101,6 +101,8 @@ def _closures(known: DataFrame, dirty: set[str], closed: dict[str, str], pairs:
         classes = components(_pairs(known, SAME))
         both = classes.select(F.col("node").alias("src"), "canon").join(classes.select(F.col("node").alias("dst"), "canon"), "canon")
         out.append(facts(both.select("src", "dst"), SAME, "eq-trans"))
+    if sizes is not None and not sizes.get((RDF_TYPE, TRANSITIVE)):
+        return out
     declared = [r["s"] for r in known.where((F.col("p") == RDF_TYPE) & (F.col("o") == TRANSITIVE)).select("s").distinct().collect()]
     for p in declared:
         if p in dirty or RDF_TYPE in dirty:
@@ -121,9 +123,14 @@ def fixpoint(asserted: DataFrame, rules: list[Rule], closed: dict[str, str] | No
     parts, rounds, added = [new], 0, []
     rows, more = new.count(), 0
     present: set[str] = set()
+    kinds = {name: f"<{OWL}{kind}>" for name, (_, _, kind) in STARS.items()}
+    classes = frozenset({p[2] for r in rules for p in r.body if isinstance(p[2], str) and p[1] == RDF_TYPE} | set(kinds.values()) | {TRANSITIVE})
+    known_sizes = Sizes()
     cells = collections(new) if lists else None
     while rounds < GUARD:
-        dirty = {r["p"] for r in new.select("p").distinct().collect()}
+        new_sizes = Sizes.counted(new, sorted(classes))
+        known_sizes = known_sizes.more(new_sizes)
+        dirty = {p for p, _ in new_sizes}
         present |= dirty
         facts = together(parts)
         if not dirty:
@@ -132,12 +139,12 @@ def fixpoint(asserted: DataFrame, rules: list[Rule], closed: dict[str, str] | No
         made = []
         for rule in rules:
             if rule.name in STARS:
-                kind = f"<{OWL}{STARS[rule.name][2]}>"
-                if RDF_TYPE in present:
-                    made.append(star_step(rule.name, triples, delta, RDF_TYPE, kind))
+                size = known_sizes.get((RDF_TYPE, kinds[rule.name]), 0)
+                if size:
+                    made.append(star_step(rule.name, triples, delta, RDF_TYPE, kinds[rule.name], size))
             elif all(p is None or p in present for p in rule.predicates):
-                made += delta_steps(rule, triples, delta, dirty)
-        made += [_none(f) for f in _closures(triples, dirty, closed, pairs)]
+                made += delta_steps(rule, triples, delta, dirty, *[[sizes.of(p, classes) for p in rule.body] for sizes in (known_sizes, new_sizes)])
+        made += [_none(f) for f in _closures(triples, dirty, closed, pairs, known_sizes)]
         if cells is not None:
             if dirty & set(LISTED) and rounds:
                 cells = collections(facts)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..terms import Var
+from ..operators.closure import FEW, light
+from ..terms import RDF_TYPE, Var
 from .rules import Rule
 
 PREMISE = "struct<s: string, p: string, o: string>"
@@ -30,13 +31,35 @@ def pattern(triples: DataFrame, slots: tuple, number: int) -> tuple[DataFrame, d
     return df.select(*cols, F.struct("s", "p", "o").alias(f"~{number}")), {n: f"{number}~{n}" for n in names}
 
 
-def step(rule: Rule, sources: list[DataFrame], small: frozenset[str] = frozenset()) -> DataFrame:
+class Sizes(dict):
+    """Triples by predicate and, for ``rdf:type`` with a class that the rules name, by class; other classes are under None."""
+
+    @staticmethod
+    def counted(triples: DataFrame, classes: list[str]) -> Sizes:
+        kind = F.when((F.col("p") == RDF_TYPE) & F.col("o").isin(classes), F.col("o"))
+        return Sizes({(r["p"], r["kind"]): r["n"] for r in triples.groupBy("p", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()})
+
+    def more(self, other: Sizes) -> Sizes:
+        return Sizes({k: self.get(k, 0) + other.get(k, 0) for k in self.keys() | other.keys()})
+
+    def of(self, slots: tuple, classes: frozenset[str]) -> int:
+        """The most triples that a pattern can match."""
+        _, p, o = slots
+        if not isinstance(p, Var) and p == RDF_TYPE and not isinstance(o, Var) and o in classes:
+            return self.get((p, o), 0)
+        return sum(n for (own, _), n in self.items() if isinstance(p, Var) or own == p)
+
+
+def step(rule: Rule, sources: list[DataFrame], sizes: list[int] | None = None) -> DataFrame:
     """``s, p, o, rule, premises`` of a rule with a source of triples for each pattern.
 
     Patterns are joined from the first on, always along a shared variable if
-    there is one, so that schema patterns narrow what follows.
+    there is one, so that schema patterns narrow what follows. Patterns that match few triples, by
+    ``sizes``, are broadcast: a join on the predicate would give one task all triples of it.
     """
     parts = [pattern(t, p, i) for i, (t, p) in enumerate(zip(sources, rule.body, strict=True))]
+    if sizes is not None and len(parts) > 1:
+        parts = [(F.broadcast(df) if n <= FEW else df, names) for (df, names), n in zip(parts, sizes, strict=True)]
     df, bound = parts[0]
     left = parts[1:]
     while left:
@@ -51,12 +74,18 @@ def step(rule: Rule, sources: list[DataFrame], small: frozenset[str] = frozenset
     return out.where(~F.col("s").startswith('"') & F.col("p").startswith("<"))
 
 
-def delta_steps(rule: Rule, known: DataFrame, new: DataFrame, dirty: set[str] | None = None) -> list[DataFrame]:
-    """What a rule gives with at least one new triple: each place in turn takes the new ones, and the others all."""
+def delta_steps(rule: Rule, known: DataFrame, new: DataFrame, dirty: set[str] | None = None, all_sizes: list[int] | None = None, new_sizes: list[int] | None = None) -> list[DataFrame]:
+    """What a rule gives with at least one new triple: each place in turn takes the new ones, and the others all.
+
+    With the numbers of triples that each place can match, places without any are left out.
+    """
     out = []
+    if all_sizes is not None and not all(all_sizes):
+        return out
     for i, p in enumerate(rule.predicates):
-        if dirty is None or p is None or p in dirty:
-            out.append(step(rule, [new if k == i else known for k in range(len(rule.body))]))
+        if (dirty is None or p is None or p in dirty) and (new_sizes is None or new_sizes[i]):
+            sizes = None if all_sizes is None else [new_sizes[k] if k == i else all_sizes[k] for k in range(len(rule.body))]
+            out.append(step(rule, [new if k == i else known for k in range(len(rule.body))], sizes))
     return out
 
 
@@ -72,15 +101,17 @@ def derived_again(rule: Rule, known: DataFrame, wanted: DataFrame) -> DataFrame:
 STARS = {"prp-fp": ("s", "o", "FunctionalProperty"), "prp-ifp": ("o", "s", "InverseFunctionalProperty")}
 
 
-def star_step(rule: str, known: DataFrame, new: DataFrame, typed: str, kind: str) -> DataFrame:
+def star_step(rule: str, known: DataFrame, new: DataFrame, typed: str, kind: str, size: int | None = None) -> DataFrame:
     """What a functional property makes the same, in the groups that something new is in.
 
     Each member hangs on the least of its group, itself included; the closure of
-    ``owl:sameAs`` makes the rest. A hot value of k members gives k rows and not k * k.
+    ``owl:sameAs`` makes the rest. A hot value of k members gives k rows and not k * k. ``size`` is the number of such properties.
     """
     by, member, _ = STARS[rule]
     props = known.where((F.col("p") == typed) & (F.col("o") == kind)).select(F.col("s").alias("p")).distinct()
     fresh = new.where((F.col("p") == typed) & (F.col("o") == kind)).select(F.col("s").alias("p")).distinct()
+    if size is not None:
+        props, fresh = light(props, size), light(fresh, size)
     rows = known.join(props, "p", "left_semi").select("s", "p", "o")
     touched = new.join(props, "p", "left_semi").select("p", by).unionByName(rows.join(fresh, "p", "left_semi").select("p", by)).distinct()
     rows = rows.join(touched, ["p", by], "left_semi")

@@ -74,3 +74,23 @@ def test_a_hot_term_is_no_key_of_a_shuffle(spark, monkeypatch):
     assert sorted(map(str, back.collect())) == sorted(map(str, quads.collect()))
     plan = encoded._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 4
+
+
+def test_few_schema_triples_are_broadcast_to_a_rule(spark):
+    """A join on the predicate would give one task all triples of it."""
+    from graphloom.reason.evaluate import Sizes, delta_steps
+    from graphloom.reason.rules import owl_rules
+    from graphloom.registry import TRIPLE
+    from graphloom.terms import OWL, RDF_TYPE
+
+    kind = f"<{OWL}SymmetricProperty>"
+    rule = next(r for r in owl_rules() if r.name == "prp-symp")
+    facts = spark.createDataFrame([("<p>", RDF_TYPE, kind), ("<x>", RDF_TYPE, "<C>"), *[(f"<{i}>", "<p>", "<y>") for i in range(9)]], TRIPLE)
+    sizes = Sizes.counted(facts, [kind])
+    assert sizes == {(RDF_TYPE, kind): 1, (RDF_TYPE, None): 1, ("<p>", None): 9}
+    assert [sizes.of(p, frozenset([kind])) for p in rule.body] == [1, 11]
+    first, second = delta_steps(rule, facts, facts, None, [1, 10**9], [1, 10**9])
+    for df in (first, second):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan and df.count() == 9
+    assert delta_steps(rule, facts, facts, None, [0, 10**9], [0, 10**9]) == []
