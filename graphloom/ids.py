@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .algebra import Dataset
 from .mapping import connected, match
-from .operators.closure import checkpointed
+from .operators.closure import checkpointed, light
 from .operators.joins import Relation
 from .plans.values import Val
-from .store import QuadGraph, dictionary, encode_ids
+from .store import QuadGraph, dictionary, encode_ids, hot_terms, looked_up
 from .terms import Term, Var
 
 
@@ -26,14 +26,14 @@ class _Id:
 class IdGraph(QuadGraph):
     """A source of patterns over encoded quads.
 
-    Quads are encoded once and written by predicate. A pattern's constants are looked up (a few
+    Quads are encoded once and written by ranges of predicate and subject. A pattern's constants are looked up (a few
     rows), joins compare ids, and each variable of the answer is decoded by one join with the dictionary.
     """
 
     def __init__(self, quads: DataFrame, dataset: Dataset | None = None, strict: bool = False):
         super().__init__(quads, dataset, strict)
         self.terms = checkpointed(dictionary(quads))
-        self.encoded = checkpointed(encode_ids(quads, self.terms).repartition("p").sortWithinPartitions("p", "s"))
+        self.encoded = checkpointed(encode_ids(quads, self.terms).repartitionByRange("p", "s").sortWithinPartitions("p", "s"))
 
     def _ids(self, nodes: set[str]) -> dict[str, int]:
         return {r["term"]: r["id"] for r in self.terms.where(F.col("term").isin(sorted(nodes))).collect()} if nodes else {}
@@ -52,8 +52,9 @@ class IdGraph(QuadGraph):
             return self.encoded.where("g = 0").select("s", "p", "o")
         else:
             hidden = names.where(F.col("term").startswith("<urn:graphloom:")).select(F.col("id").alias("g"))
-            return self.encoded.join(hidden, "g", "left_anti").select("s", "p", "o").distinct()
-        found = self.encoded.join(ids.distinct(), "g", "left_semi")
+            return self.encoded.join(light(hidden, hidden.count()), "g", "left_anti").select("s", "p", "o").distinct()
+        ids = ids.distinct()
+        found = self.encoded.join(light(ids, ids.count()), "g", "left_semi")
         return found.select("s", "p", "o", "g") if scope[0] == "var" else found.select("s", "p", "o").distinct()
 
     def bgp_ids(self, patterns: list[tuple], scope: tuple) -> Relation | None:
@@ -86,10 +87,10 @@ class IdGraph(QuadGraph):
             return super().bgp(patterns, scope)
         df, vals = found.df, found.vals
         df = df.select(*[v.col.alias(f"~{i}") for i, v in enumerate(vals.values())] or [F.lit(1).alias("~unit")])
+        hot = hot_terms(self.terms) if vals else None
         for i in range(len(vals)):
-            own = self.terms.select(F.col("id").alias(f"~{i}"), F.col("term").alias(f"t{i}"))
-            df = df.join(own, f"~{i}")
-        return Relation.of(df, {n: Val("term", F.col(f"t{i}")) for i, n in enumerate(vals)}) if vals else Relation(df, {})
+            df = looked_up(df, f"~{i}", self.terms, "id", "term", hot)
+        return Relation.of(df, {n: Val("term", F.col(f"~{i}")) for i, n in enumerate(vals)}) if vals else Relation(df, {})
 
 
 def _matched(r: Relation, free: dict[str, Var]) -> Relation:

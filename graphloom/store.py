@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .algebra import Dataset, Refused
 from .mapping import connected, match
-from .operators.closure import checkpointed
+from .operators.closure import FEW, checkpointed
 from .operators.joins import Relation
 from .plans.values import Val
 from .terms import RDF_TYPE, Term, Var
@@ -119,9 +119,10 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def dictionary(quads: DataFrame) -> DataFrame:
-    """``id, term, n`` for each distinct term and how often it stands, ids from 1 in term order: no single task sorts all terms."""
-    terms = quads.select(F.explode(F.array("g", "s", "p", "o")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return numbered(terms, "term").select((F.col("place") + 1).alias("id"), "term", "n")
+    """``id, term`` for each distinct term, ids from 1 in term order: no single task sorts all terms. ``n`` is how often it stands, ``g`` and ``p`` whether as a graph or predicate."""
+    uses = quads.select(F.posexplode(F.array("g", "s", "p", "o")).alias("at", "term")).where("term is not null")
+    terms = uses.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("at") == 0).alias("g"), F.bool_or(F.col("at") == 2).alias("p"))
+    return numbered(terms, "term").select((F.col("place") + 1).alias("id"), "term", "n", "g", "p")
 
 
 #: Uses from which a term is broadcast, and the share of all uses from which it is however large the input: so these are few.
@@ -144,16 +145,26 @@ def hot_terms(terms: DataFrame) -> DataFrame:
     return terms.where(F.col("n") > max(HOT, int(HOT_SHARE * uses)))
 
 
+def _translated(quads: DataFrame, terms: DataFrame, by: str, to: str) -> DataFrame:
+    hot, out = hot_terms(terms), quads.select("g", "s", "p", "o")
+    for c in "gpso":
+        own = terms.where(c) if c in "gp" else None
+        if own is not None and own.count() <= FEW:
+            few = F.broadcast(own.select(F.col(by).alias(c), F.col(to).alias("~few")))
+            out = out.join(few, c, "left").select(*[F.col("~few").alias(c) if name == c else F.col(name) for name in out.columns])
+        else:
+            out = looked_up(out, c, terms, by, to, hot)
+    return out
+
+
 def encode_ids(quads: DataFrame, terms: DataFrame) -> DataFrame:
     """Quads of ids; the default graph is 0."""
-    hot = hot_terms(terms)
-    out = reduce(lambda df, c: looked_up(df, c, terms, "term", "id", hot), "gspo", quads.select("g", "s", "p", "o"))
+    out = _translated(quads, terms, "term", "id")
     return out.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in "gspo"])
 
 
 def decode_ids(ids: DataFrame, terms: DataFrame) -> DataFrame:
-    hot = hot_terms(terms)
-    return reduce(lambda df, c: looked_up(df, c, terms, "id", "term", hot), "gspo", ids.select("g", "s", "p", "o"))
+    return _translated(ids, terms, "id", "term")
 
 
 def reserved(graph: str | None) -> bool:
