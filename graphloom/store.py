@@ -179,7 +179,10 @@ def has_type(quads: DataFrame, kind: Term) -> DataFrame:
 SMALL = 16 << 20
 #: Rows of the overlay, as a share of the base's, from which both are folded into a new base.
 FOLD = 0.25
+#: Bytes of terms that a task gets where more than ``SMALL`` of them are grouped.
+SHARE = 16 << 20
 _QUAD = ["g", "s", "p", "o"]
+_BYTES = "octet_length(g) + octet_length(s) + octet_length(p) + octet_length(o)"
 
 
 def _keyed(quads: DataFrame) -> DataFrame:
@@ -191,33 +194,54 @@ def _named(quads: DataFrame) -> DataFrame:
     return quads.select(F.nullif(F.col("g"), F.lit("")).alias("g"), "s", "p", "o")
 
 
+def dealt(quads: DataFrame, size: int) -> DataFrame:
+    """Quads of so many bytes dealt out by their terms, so that there are more tasks and not larger ones where there are more bytes."""
+    return quads.repartition(-(-size // SHARE), *_QUAD) if size > SMALL else quads
+
+
+def _measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of terms."""
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(_BYTES)), F.lit(0))).first()
+    return row[0], row[1]
+
+
 @dataclass
 class Segment:
     """A base and the changes since, as events: ``g, s, p, o, mult, version`` with ``mult`` 1 or -1."""
 
     base: DataFrame
     since: int
-    rows: int | None = None
+    #: Rows and bytes of the base, once they were asked for.
+    held: tuple[int, int] | None = None
     events: list[tuple[int, DataFrame]] = field(default_factory=list)
     size: int = 0
     bytes: int = 0
 
-    def overlay(self, version: int) -> DataFrame | None:
-        """Quads changed up to a version and whether they are there: the last event of each tells."""
-        parts = [df for v, df in self.events if v <= version]
-        if not parts:
-            return None
-        return reduce(DataFrame.unionByName, parts).groupBy(*_QUAD).agg(F.max_by("mult", "version").alias("mult"))
+    def measured(self) -> tuple[int, int]:
+        if self.held is None:
+            self.held = _measured(self.base)
+        return self.held
 
-    def small(self, df: DataFrame, size: int) -> DataFrame:
-        return F.broadcast(df) if size <= SMALL else df
+    def changed(self, version: int) -> DataFrame | None:
+        """The events up to a version."""
+        parts = [df.select(*_QUAD, "mult", "version") for v, df in self.events if v <= version]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def started(self, base: DataFrame) -> DataFrame:
+        """Rows of the base as events before all others."""
+        return base.select(*_QUAD, F.lit(1).alias("mult"), F.lit(-1).alias("version"))
 
     def visible(self, version: int) -> DataFrame:
-        """The quads as of a version, keyed."""
-        over = self.overlay(version)
-        if over is None:
+        """The quads as of a version, keyed: the last event of each tells whether it is there."""
+        events = self.changed(version)
+        if events is None:
             return self.base
-        kept = self.base.join(self.small(over.select(*_QUAD), self.bytes), _QUAD, "left_anti")
+        last = F.max_by("mult", "version").alias("mult")
+        if self.bytes > SMALL:
+            whole = dealt(self.started(self.base).unionByName(events), self.measured()[1] + self.bytes)
+            return whole.groupBy(*_QUAD).agg(last).where("mult > 0").select(*_QUAD)
+        over = events.groupBy(*_QUAD).agg(last)
+        kept = self.base.join(F.broadcast(over.select(*_QUAD)), _QUAD, "left_anti")
         return kept.unionByName(over.where("mult > 0").select(*_QUAD))
 
 
@@ -259,48 +283,49 @@ class Store:
         """The quads as of a version."""
         return _named(self._segment(version).visible(version))
 
+    def prepare(self) -> None:
+        """The base is read by every change and its pattern, so what made it is cut off once, before the first."""
+        if not self._prepared:
+            now = self.segments[-1]
+            now.base, self._prepared = checkpointed(now.base), True
+
     def apply(self, deletions: DataFrame | None, additions: DataFrame | None) -> tuple[int, int]:
         """``S' = (S - D) + A``: deletions first; counts of real changes. Nothing real is no new version."""
+        self.prepare()
         now = self.segments[-1]
-        if not self._prepared:
-            # the base is read by every change, so what made it is cut off once
-            now.base, self._prepared = checkpointed(now.base), True
         sides = [_keyed(df).select("*", F.lit(name == "in_a").alias("add")) for df, name in ((deletions, "in_d"), (additions, "in_a")) if df is not None]
         if not sides:
             return 0, 0
-        # a quad that is taken away and put in is put in
-        asked = checkpointed(reduce(DataFrame.unionByName, sides).groupBy(*_QUAD).agg(F.max("add").alias("add")))
-        size, weight = self._measured(asked)
+        asked = checkpointed(reduce(DataFrame.unionByName, sides))
+        size, weight = _measured(asked)
         if not size:
             return 0, 0
-        keys = now.small(asked.select(*_QUAD), weight)
-        here = now.base.join(keys, _QUAD, "left_semi").select(*_QUAD, F.lit(1).alias("mult"), F.lit(-1).alias("version"))
-        parts = [here, *(df.select(*_QUAD, "mult", "version") for _, df in now.events)]
-        state = reduce(DataFrame.unionByName, parts).groupBy(*_QUAD).agg(F.max_by("mult", "version").alias("mult"))
-        change = asked.join(state, _QUAD, "left").where("add <> (coalesce(mult, -1) > 0)")
+        here, most = now.base, now.bytes + weight
+        if weight <= SMALL:
+            here, most = here.join(F.broadcast(asked.select(*_QUAD)), _QUAD, "left_semi"), most + weight
+        else:
+            most += now.measured()[1]
+        state = now.started(here)
+        if now.events:
+            state = state.unionByName(now.changed(self.version))
+        # one grouping of the base, the events and what is asked; a quad that is taken away and put in is put in
+        rows = state.withColumn("add", F.lit(None).cast("boolean")).unionByName(asked.select(*_QUAD, F.lit(None).cast("int").alias("mult"), F.lit(None).cast("int").alias("version"), "add"))
+        change = dealt(rows, most).groupBy(*_QUAD).agg(F.max("add").alias("add"), F.max_by("mult", "version").alias("mult")).where("add <> (coalesce(mult, -1) > 0)")
         events = checkpointed(change.select(*_QUAD, F.when(F.col("add"), 1).otherwise(-1).alias("mult"), F.lit(self.version + 1).alias("version")))
-        row = events.agg(F.count_if(F.col("mult") < 0), F.count_if(F.col("mult") > 0)).first()
+        row = events.agg(F.count_if(F.col("mult") < 0), F.count_if(F.col("mult") > 0), F.coalesce(F.sum(F.expr(_BYTES)), F.lit(0))).first()
         counts = (row[0], row[1])
         if any(counts):
             self.version += 1
             now.events.append((self.version, events))
             now.size += sum(counts)
-            now.bytes += weight
+            now.bytes += row[2]
             self._fold(now)
         return counts
 
-    @staticmethod
-    def _measured(df: DataFrame) -> tuple[int, int]:
-        """Rows and bytes of terms."""
-        row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.octet_length(c) for c in _QUAD)), F.lit(0))).first()
-        return row[0], row[1]
-
     def _fold(self, now: Segment) -> None:
         if now.size < 1 << 16 and now.bytes <= SMALL:
             return
-        if now.rows is None:
-            now.rows = now.base.count()
-        if now.size > FOLD * now.rows:
+        if now.size > FOLD * now.measured()[0]:
             self.segments.append(Segment(checkpointed(now.visible(self.version)), self.version))
 
     def pin(self, version: int | None = None) -> int:
@@ -324,7 +349,7 @@ class Store:
             fresh = Segment(checkpointed(own.visible(first)), first)
             fresh.events = later
             if later:
-                fresh.size, fresh.bytes = self._measured(reduce(DataFrame.unionByName, [df for _, df in later]).select(*_QUAD))
+                fresh.size, fresh.bytes = _measured(reduce(DataFrame.unionByName, [df for _, df in later]).select(*_QUAD))
             own = fresh
         self.segments = [own, *(s for s in self.segments if s.since > first)]
         self._prepared = True

@@ -45,6 +45,7 @@ class Updater:
         for op in ops:
             if any(map(reserved, _written(op))):
                 raise Refused("a reserved graph is not written")
+        self.store.prepare()
         return [getattr(self, "on_" + type(op).__name__.lower())(op) for op in ops]
 
     def rows(self, quads: list[tuple]) -> DataFrame:

@@ -94,3 +94,23 @@ def test_few_schema_triples_are_broadcast_to_a_rule(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "strategy=broadcast" in plan and df.count() == 9
     assert delta_steps(rule, facts, facts, None, [0, 10**9], [0, 10**9]) == []
+
+
+def test_a_large_change_is_dealt_over_more_tasks_than_a_small_one(spark, monkeypatch):
+    from graphloom import store
+    from graphloom.update import Updater
+
+    monkeypatch.setattr(store, "SMALL", 1000)
+    monkeypatch.setattr(store, "SHARE", 500, raising=False)
+    quads = spark.createDataFrame([("<a>" if i % 2 else "<b>", f"<s{i // 2}>", "<p>", f'"{i // 4}"') for i in range(400)], store.SCHEMA)
+    state = store.Store.of(quads)
+    prepared = []
+    monkeypatch.setattr(Updater, "exists", lambda self, graph: prepared.append(self.store._prepared) or True)
+    assert Updater(spark, state).run("COPY <a> TO <b>") == [(0, 0)]
+    assert prepared == [True]  # what made the base is not run again for each pattern
+    assert Updater(spark, state).run("INSERT { GRAPH <a> { ?s <q> ?o } } WHERE { GRAPH ?g { ?s <p> ?o } }; MOVE <a> TO <c>") == [(0, 200), (400, 400)]
+    for df in (state.segments[0].events[0][1], state.quads):
+        assert len({r[0] for r in df.select(F.spark_partition_id()).collect()}) > 4
+    found = {tuple(r) for r in state.quads.collect()}
+    assert found == {(g, f"<s{i}>", p, f'"{i // 2}"') for i in range(200) for g, p in (("<b>", "<p>"), ("<c>", "<p>"), ("<c>", "<q>"))}
+    assert {tuple(r) for r in state.at(0).collect()} == {tuple(r) for r in quads.collect()}
