@@ -32,7 +32,7 @@ from .suffixes import spread, suffix_array, suffix_arrays
 
 WINDOW, GRAM = 50, 24
 #: Symbols that are sorted in step; symbols of a text that is sorted by itself.
-BATCH, LONG = 1 << 18, 1 << 15
+BATCH, LONG = 1 << 17, 1 << 15
 #: Symbol of the anchor; bytes are one more than they are, 0 ends a string, and ``PACK`` bytes behind the anchor are one symbol above.
 ANCHOR, PACK = 257, 5
 

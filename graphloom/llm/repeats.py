@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint_dir, doc_text, mix64, sha_hex, text_chunks
 from .suffixes import spread
 
-#: Bytes of text in a block; buckets for each block; window starts, and bytes of contexts, that are looked at together.
-BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 2, 1 << 18, 1 << 20
+#: Bytes of text in a block; buckets for each block; window starts, and bytes of contexts, that are looked at together: work arrays of these stay in a core's cache.
+BLOCK, BUCKETS, SEGMENT, SLICE = 8 << 20, 2, 1 << 15, 1 << 15
 #: Bytes of a text from which it is cut, and of each part without what it shares with its neighbours.
 PART = 4 << 20
 #: Shuffle partitions at most; there is one for each block up to here, and beyond each holds several blocks, one after another.
@@ -145,10 +145,9 @@ class Runs:
 def find_runs(values: np.ndarray, offsets: np.ndarray, shape: Shape) -> Runs:
     """The runs of joined documents; windows don't cross from one to the next."""
     w, parts = shape.window, []
-    edge = np.zeros(len(values) + 1, dtype=np.int32)
-    np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - w + 1), 1)
-    np.add.at(edge, offsets[1:], -1)
-    whole = np.cumsum(edge[:-1], dtype=np.int32) == 0
+    whole = np.ones(len(values), dtype=bool)
+    for a, b in zip(np.maximum(offsets[:-1], offsets[1:] - w + 1).tolist(), offsets[1:].tolist(), strict=True):
+        whole[a:b] = False
     for lo in range(0, len(values) - w + 1, SEGMENT):
         hi = min(lo + SEGMENT, len(values) - w + 1)
         gram = gram_hashes(values[lo : hi + w - 1], shape.gram)
@@ -469,8 +468,9 @@ def covered(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
     if block.shape.within:
         repeat |= (best_doc[at] == doc) & (best_pos[at] < pos)
     start = (np.repeat(runs.first, sizes) + spread(sizes))[repeat]
-    np.add.at(cover, start, 1)
-    np.add.at(cover, start + w, -1)
+    # a window is in one run, so no start stands twice
+    cover[start] = 1
+    cover[start + w] -= 1
     return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 

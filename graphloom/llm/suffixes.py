@@ -101,13 +101,13 @@ def suffix_arrays(symbols: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n = len(symbols)
     count = np.diff(edges)
     key = np.repeat(np.arange(len(count)), count) * (int(symbols.max(initial=0)) + 1) + symbols
-    order = np.argsort(key, kind="stable").astype(np.int64)
+    order = np.argsort(key)
     new = np.ones(n, dtype=bool)
     new[1:] = np.diff(key[order]) != 0
     begin = np.flatnonzero(new).astype(np.int64)
     size = np.zeros(n, dtype=np.int64)
     size[begin] = np.diff(np.append(begin, n))
-    group, at, before = (np.zeros(n, dtype=np.int64) for _ in range(3))
+    group, at, before, tally = (np.zeros(n, dtype=np.int64) for _ in range(4))
     group[order] = np.repeat(begin, size[begin])
     at[order] = np.arange(n, dtype=np.int64)
     length = np.ones(n, dtype=np.int64)
@@ -116,20 +116,27 @@ def suffix_arrays(symbols: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
     def extend(places: np.ndarray, word: np.ndarray) -> None:
         """Move the places that were pointed at, once for each member that did, into groups of their own."""
-        places, first, times = np.unique(places, return_index=True, return_counts=True)
-        length[places] += (times * word[first]).astype(np.int64)
+        turn = np.arange(len(places))
+        tally[places] = turn
+        chosen = np.flatnonzero(tally[places] == turn)  # of equal places the last one
+        if len(chosen) < len(places):
+            times = np.bincount(tally[places], minlength=len(places))[chosen]
+            places, word = places[chosen], word[chosen] * times
+        else:
+            times = np.ones(len(places), dtype=np.int64)
+        length[places] += word
         old = group[places]
-        by = np.lexsort((times, old))
+        by = np.argsort(old * (int(times.max()) + 1) + times)
         places, old, times = places[by], old[by], times[by]
         fresh = np.ones(len(old), dtype=bool)
         fresh[1:] = old[1:] != old[:-1]
         start = np.flatnonzero(fresh)
-        gone = np.diff(np.append(start, len(old))).astype(np.int64)
+        gone = np.diff(np.append(start, len(old)))
         left = old[start]
-        to = np.repeat(left + size[left] - gone, gone) + spread(gone).astype(np.int64)
+        to = np.repeat(left + size[left] - gone, gone) + spread(gone)
         source = at[places]
         mark[to] = True
-        vacant = np.sort(source[~mark[source]])
+        vacant = source[~mark[source]]
         mark[to] = False
         mark[source] = True
         moved = order[to[~mark[to]]]

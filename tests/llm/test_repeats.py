@@ -160,3 +160,19 @@ def test_long_texts_are_cut_and_joined(spark, monkeypatch):
         assert digest == slow(rows)
         plain = sorted((x.doc_id, *(x[c] for c in got), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in module.without_repeats(docs).collect())
         assert plain == digest
+
+
+def test_hashes_are_made_in_pieces_that_stay_in_cache(monkeypatch):
+    sizes = []
+    made = repeats.gram_hashes
+    monkeypatch.setattr(repeats, "gram_hashes", lambda values, n: sizes.append(len(values)) or made(values, n))
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (300_000, 49, 60_000, 0, 50)]
+    values, _, _, offsets = dedup_bytes.SHAPE.tokens(texts)
+    runs = repeats.find_runs(values, offsets, dedup_bytes.SHAPE)
+    windows = [np.arange(max(0, len(t) - 49)) + at for t, at in zip(texts, offsets.tolist())]
+    assert np.concatenate([np.arange(a, b + 1) for a, b in zip(runs.first, runs.last)]).tolist() == np.concatenate(windows).tolist()
+    assert ((runs.first <= runs.anchor) & (runs.anchor <= runs.first + 26)).all() and set(runs.doc.tolist()) == {0, 2, 4}
+    contexts = [t.encode() for t in texts[2:3] * 4]
+    repeats.window_hashes(contexts, np.array([len(t) - 49 for t in contexts]), dedup_bytes.SHAPE)
+    assert max(sizes) <= 1 << 16
