@@ -108,7 +108,13 @@ class Keyed:
     events: list[DataFrame] = field(default_factory=list)
     changed: int = 0
 
+    @property
+    def empty(self) -> bool:
+        return not self.rows and not self.events
+
     def overlay(self) -> DataFrame:
+        if len(self.events) == 1:  # a change has each fact once
+            return self.events[0].select(*KEY, self.value, "there")
         last = F.max_by(F.struct(self.value, "there"), "at").alias("x")
         return together(self.events).groupBy(*KEY).agg(last).select(*KEY, f"x.{self.value}", "x.there")
 
@@ -139,7 +145,8 @@ class Keyed:
             self.events.append(part)
             self.changed += n
             if self.changed > max(FEW, FOLD * self.rows) or len(self.events) > 4 * PARTS:
-                self.base = checkpointed(self.current())
+                first = not self.rows and len(self.events) == 1  # these are in a checkpoint of their own
+                self.base = self.current() if first else checkpointed(self.current())
                 self.rows, self.events, self.changed = self.base.count(), [], 0
         return n
 
@@ -194,7 +201,13 @@ class Circuit:
         """What the rules give with at least one new fact."""
         dirty = {r["p"] for r in new.select("p").distinct().collect()}
         steps = [s.select(*KEY, "rule") for r in self.rules for s in delta_steps(r, known, new, dirty)]
-        return together(steps).groupBy(*KEY).agg(F.min("rule").alias("rule")) if steps else None
+        return self._least(together(steps)) if steps else None
+
+    def _least(self, found: DataFrame) -> DataFrame:
+        """Each fact once, with the first of its rules by name: by their numbers, which are grouped without a sort."""
+        names = F.array(*[F.lit(n) for n in sorted({r.name for r in self.rules})])
+        least = found.groupBy(*KEY).agg(F.min(F.array_position(names, F.col("rule"))).alias("~rule"))
+        return least.select(*KEY, F.element_at(names, F.col("~rule").cast("int")).alias("rule"))
 
     def _grow(self, known: DataFrame, new: DataFrame, within: DataFrame | None = None) -> list[DataFrame]:
         """``new`` and all that follows from it and what is known, or as much of it as is ``within``, in parts."""
@@ -227,8 +240,12 @@ class Circuit:
         delta = checkpointed(consolidated(together(self._log)))
         self._log = []
         n = delta.count()
-        was = self.asserted.lookup(delta, n).withColumnRenamed("mult", "old")
-        touched = checkpointed(delta.join(was, KEY, "left").select(*KEY, F.coalesce("old", F.lit(0)).alias("old"), (F.coalesce("old", F.lit(0)) + F.col("mult")).alias("mult")))
+        new = self.known.empty
+        if self.asserted.empty:
+            touched = delta.select(*KEY, F.lit(0).alias("old"), "mult")
+        else:
+            was = self.asserted.lookup(delta, n).withColumnRenamed("mult", "old")
+            touched = checkpointed(delta.join(was, KEY, "left").select(*KEY, F.coalesce("old", F.lit(0)).alias("old"), (F.coalesce("old", F.lit(0)) + F.col("mult")).alias("mult")))
         self.written += self.asserted.write(touched.withColumn("there", F.col("mult") != 0))
         gone, come = touched.where("old > 0 and mult <= 0").select(*KEY), touched.where("old <= 0 and mult > 0").select(*KEY)
         before = self.known.current()
@@ -236,8 +253,8 @@ class Circuit:
         dead, back = self._shrunk(before, gone)
         left = before if dead is None else before.join(dead, KEY, "left_anti")
         held = left if back is None else left.unionByName(back)
-        there = held.join(light(come, n), KEY, "left_semi")
-        fresh = checkpointed(come.join(there, KEY, "left_anti").select(*KEY, none))
+        there = before if new else held.join(light(come, n), KEY, "left_semi")
+        fresh = checkpointed((come if new else come.join(there, KEY, "left_anti")).select(*KEY, none))
         grown = together(self._grow(held, fresh))
         if back is not None:
             grown = grown.unionByName(back.join(grown.select(*KEY), KEY, "left_anti"))
@@ -247,8 +264,13 @@ class Circuit:
         if dead is not None:
             changes = after.unionByName(dead.join(after, KEY, "left_anti").select(*KEY, none, F.lit(False).alias("there")))
         changes = checkpointed(changes)
-        n = changes.count()
-        old = checkpointed(self.known.lookup(changes, n))
+        if new:
+            old = before
+        else:
+            # of the changes only what was logged or went can have been there
+            asked, n = (come, come.count()) if dead is None else (come.unionByName(dead), come.count() + dead.count())
+            asked, n = (changes.join(F.broadcast(asked), KEY, "left_semi"), n) if n <= FEW else (changes, changes.count())
+            old = checkpointed(self.known.lookup(asked, n))
         self.written += self.known.write(changes)
         out = self._published(old, changes.where("there").drop("there"))
         self.feed.append(out)
@@ -279,7 +301,7 @@ class Circuit:
         again = [derived_again(r, left.select(*KEY), dead).select(*KEY, "rule") for r in self.rules]
         if not again:
             return dead, None
-        back = together(again).groupBy(*KEY).agg(F.min("rule").alias("rule")).join(dead, KEY, "left_semi")
+        back = self._least(together(again)).join(dead, KEY, "left_semi")
         return dead, checkpointed(together(self._grow(left, checkpointed(back), within=dead)))
 
     def _published(self, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -287,7 +309,9 @@ class Circuit:
             kind = F.when(F.col("rule").isNull(), "asserted").otherwise("inferred")
             return a.join(b, KEY, "left_anti").select(*KEY, F.lit(mult).cast("long").alias("mult"), F.lit(self.time).cast("long").alias("time"), kind.alias("kind"), "rule")
 
-        return checkpointed(side(before, after, -1).unionByName(side(after, before, 1)))
+        n = before.count()
+        near = after.join(F.broadcast(before.select(*KEY)), KEY, "left_semi") if n <= FEW else after
+        return checkpointed(side(before, near, -1).unionByName(side(after, light(before, n), 1)))
 
     def snapshot(self, time: int) -> DataFrame:
         """The facts as of a time: the feed up to it, or the facts of now without the feed since, whichever is shorter."""

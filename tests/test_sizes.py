@@ -114,3 +114,25 @@ def test_a_large_change_is_dealt_over_more_tasks_than_a_small_one(spark, monkeyp
     found = {tuple(r) for r in state.quads.collect()}
     assert found == {(g, f"<s{i}>", p, f'"{i // 2}"') for i in range(200) for g, p in (("<b>", "<p>"), ("<c>", "<p>"), ("<c>", "<q>"))}
     assert {tuple(r) for r in state.at(0).collect()} == {tuple(r) for r in quads.collect()}
+
+
+def test_a_first_tick_is_neither_sorted_nor_copied(spark):
+    from graphloom import incremental
+    from graphloom.reason.rules import parse_rules
+    from graphloom.registry import TRIPLE
+
+    rules = parse_rules("b: ?x <p> ?y . ?y <p> ?z => ?x <p> ?z") + parse_rules("a: ?x <p> ?y . ?y <q> ?z => ?x <p> ?z")
+    circuit = incremental.Circuit(spark, rules)
+    facts = spark.createDataFrame([("<1>", "<p>", "<2>"), ("<2>", "<p>", "<3>"), ("<2>", "<q>", "<3>")], TRIPLE)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan(circuit._once(facts, facts))
+    assert circuit._once(facts, facts).collect() == [("<1>", "<p>", "<3>", "a")]  # the first rule by name
+    circuit.assert_(facts)
+    circuit.tick()
+    assert "Aggregate" not in plan(circuit.known.overlay())
+    circuit.retract(facts.where("p = '<q>'"))
+    circuit.assert_(facts.where("o = '<2>'"))
+    circuit.tick()
+    assert [tuple(r) for r in circuit.feed[-1].select("s", "p", "o", "mult").collect()] == [("<2>", "<q>", "<3>", -1)]
+    assert circuit.facts.where("o = '<3>' and s = '<1>'").collect() == [("<1>", "<p>", "<3>", "b")]
+    circuit.validate()
